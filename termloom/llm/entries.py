@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import chat, decontam, packing
+from termloom.llm import chat, decontam, packing, simhash
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,11 @@ from seen group by conv_id
 """
 
 
+@query
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
