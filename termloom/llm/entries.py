@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import chat, decontam, packing, simhash
+from termloom.llm import chat, decontam, packing, simhash, substring
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,25 @@ from seen group by conv_id
 """
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring.deduplicate(table(spark, sf_dir, "documents"), window=35)
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op4_substring_dedup"] = r"""
+with tokens as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
+windows as (select r, i, array_to_string(ws[i : i + 34], ' ') as win from tokens, unnest(range(1, len(ws) - 33)) as t(i)),
+twice as (select win from windows group by win having count(*) > 1),
+gone as (select distinct r, j from windows join twice using (win), unnest(range(i, i + 35)) as t(j)),
+places as (select r, i, ws[i] as word from tokens, unnest(range(1, len(ws) + 1)) as t(i)),
+left_over as (select p.r, count(*) as n, string_agg(word, ' ' order by i) as txt
+  from places p anti join gone g on p.r = g.r and p.i = g.j group by p.r)
+select doc_id, cast(len(ws) as bigint) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(txt, '')) as kept_sha256
+from tokens t left join left_over o on t.r = o.r
+"""
+
+
 @query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
