@@ -127,7 +127,7 @@ def repeated_grams(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
         def flush():
             grams, times = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(grams, (np.arange(1, n) * (1 << 64) // n).astype(np.uint64)) if n > 1 else []
+            cut = np.searchsorted(grams, np.array([(b << 64) // n for b in range(1, n)], np.uint64))
             rows = list(zip(np.split(grams, cut), np.split(times > 1, cut)))
             return pa.record_batch([pa.array(range(n), pa.int32()), pa.array([g.tobytes() for g, _ in rows], pa.binary()), pa.array([np.packbits(t).tobytes() for _, t in rows], pa.binary())], names=["bucket", "grams", "again"])
 
