@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import chat, decontam, packing, simhash, substring
+from termloom.llm import chat, decontam, ego, packing, simhash, substring, warc
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,39 @@ from seen group by conv_id
 """
 
 
+@query
+def op2_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.similarity_join(table(spark, sf_dir, "embeddings"), threshold=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+SQL["op2_epsilon_grid_near_dedup"] = """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select vec_id, e, sqrt(list_dot_product(e, e)) as n from v),
+pairs as materialized (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(a, b) as (select a, b from pairs union select r.a, p.b from reach r join pairs p on r.b = p.a),
+low as (select a, min(b) as c from reach group by a),
+links as (select a, count(*) as n from pairs group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(c, vec_id)) as component_id, vec_id = least(vec_id, coalesce(c, vec_id)) as kept
+from embeddings left join low on vec_id = low.a left join links on vec_id = links.a
+"""
+
+
+@query
+def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op3_warc_capture_index"] = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+m as (select h, min(page_id) as r from p where strlen(h) >= 100 group by h)
+select page_id, strlen(p.h) as payload_bytes, sha256(p.h) as payload_digest,
+  case when r < page_id then 'revisit' else 'response' end as record_type, case when r < page_id then r end as refers_to
+from p left join m on p.h = m.h
+"""
+
+
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring.deduplicate(table(spark, sf_dir, "documents"), window=35)
