@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import chat, decontam, ego, packing, simhash, substring, warc
+from termloom.llm import chat, decontam, ego, packing, secrets, simhash, substring, warc
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -106,6 +106,40 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_spans(table(spark, sf_dir, "documents")))
+
+
+def _secret_sql() -> str:
+    quoted = [(k, p.replace("'", "''"), g) for k, p, g in secrets.KINDS]
+    parts = " union all ".join(
+        f"""select r, {n} as kind, unnest(range(1, len(m) + 1)) as no, unnest(list_transform(p[1 : len(m)], lambda x: length(x))) as gap,
+          unnest(list_transform(m, lambda x: length(x))) as len, unnest(list_transform(g, lambda x: length(x))) as size
+        from (select r, regexp_extract_all(t, '{p}') as m, regexp_extract_all(t, '{p}', {g}) as g, string_split_regex(t, '{p}') as p from d)"""
+        for n, (_, p, g) in enumerate(quoted)
+    )
+    names = " ".join(f"when {n} then '{k}'" for n, (k, _, _) in enumerate(quoted))
+    strong, weak = secrets.STRONG, secrets.WEAK
+    return f"""
+with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+parts as ({parts}),
+placed as (select *, cast(sum(gap + len) over (partition by r, kind order by no rows unbounded preceding) as bigint) as e, {strong} as strong, {weak} as weak from parts),
+typed as (select *, e - len as s, strong and kind = 1 or weak and kind = 3 as is_id, strong and kind in (0, 2) or weak and kind in (0, 5) as is_secret from placed),
+seen as (select *, bool_or(is_id) over w as by_id, bool_or(is_secret) over w as by_secret from typed
+  window w as (partition by r order by s range between 200 preceding and 200 following)),
+kept as (select *, concat(case kind {names} end, ':', s, ':', e) as one from seen
+  where strong or weak and case when kind in (0, 5) then by_id when kind = 3 then by_secret else by_id and by_secret end),
+lists as (select r, count(*) filter (strong and kind = 0) as a, count(*) filter (strong and kind = 1) as k, count(*) filter (strong and kind = 2) as h,
+  string_agg(one, ',' order by s, kind) filter (strong) as base, string_agg(one, ',' order by s, kind) as every from kept group by r)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(k, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(every, '') as spans
+from d left join lists on d.r = lists.r
+"""
+
+
+SQL["op7_secret_scan"] = _secret_sql()
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
