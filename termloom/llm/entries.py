@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import chat, decontam, ego, packing, secrets, simhash, substring, warc
+from termloom.llm import chat, decontam, ego, packing, quality, secrets, simhash, substring, toxicity, warc
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -101,6 +101,12 @@ from tokens t left join left_over o on t.r = o.r
 """
 
 
+@query
+def op5_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -140,6 +146,12 @@ from d left join lists on d.r = lists.r
 SQL["op7_secret_scan"] = _secret_sql()
 
 
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.digest(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
