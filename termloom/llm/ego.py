@@ -14,14 +14,18 @@ further columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.shared import connected_components, parallelism, spanning_forest, stash, tune
+from termloom.llm.shared import Store, connected_components, parallelism, scratch_dir, spanning_forest, stash, tune
 
 UNKNOWN = 1 << 62
 SLACK = 1e-9
@@ -32,26 +36,38 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray | None, epsilon: float, threshold: float, leaf: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) with cosine >= threshold of two sequences in grid order; within one sequence (b None) i < j."""
+def near_pairs(a: np.ndarray, b: np.ndarray | None, epsilon: float, threshold: float, leaf: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) with cosine >= threshold of two sequences in grid order; within one sequence (b None) i < j.
+
+    Products in single precision, with their rounding's bound as slack, choose what double precision decides."""
     own = b is None
     b = a if own else b
+    a4, b4 = a.astype(np.float32), b.astype(np.float32)
+    slack = SLACK + 3e-7 * (a.shape[1] + 4)
+    boxes: dict = {}
+
+    def box(side: int, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+        if (side, s, e) not in boxes:
+            x = (b if side else a)[s:e]
+            boxes[side, s, e] = x.min(axis=0), x.max(axis=0)
+        return boxes[side, s, e]
+
     stack = [((0, len(a)), (0, len(b)))]
     while stack:
         (s, e), (t, f) = stack.pop()
         if s == e or t == f or own and s >= f:
             continue
-        x, y = a[s:e], b[t:f]
-        gap = np.maximum(0, np.maximum(x.min(axis=0) - y.max(axis=0), y.min(axis=0) - x.max(axis=0)))
+        (low, high), (low2, high2) = box(0, s, e), box(1, t, f)
+        gap = np.maximum(0, np.maximum(low - high2, low2 - high))
         if (gap * gap).sum() > epsilon * epsilon + SLACK:
             continue
         if e - s <= leaf and f - t <= leaf:
-            i, j = np.nonzero(x @ y.T >= threshold - SLACK)
+            i, j = np.nonzero(a4[s:e] @ b4[t:f].T >= threshold - slack)
             if own:
                 up = i + s < j + t
                 i, j = i[up], j[up]
             if len(i):
-                exact = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+                exact = np.einsum("ij,ij->i", a[s + i], b[t + j]) >= threshold
                 yield s + i[exact], t + j[exact]
             continue
         left = [(s, (s + e) // 2), ((s + e) // 2, e)] if e - s > leaf or e - s >= f - t else [(s, e)]
@@ -79,7 +95,7 @@ def interval_pairs(low: np.ndarray, high: np.ndarray, epsilon: float) -> list[tu
     return [(i, j) for i, j in out if i <= j]
 
 
-def similarity_join(vectors: DataFrame, threshold: float = 0.9, axes: int = 6, sample: int = 4096, block: int = 1024) -> DataFrame:
+def similarity_join(vectors: DataFrame, threshold: float = 0.9, axes: int = 6, sample: int = 4096, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id of vectors (vec_id, embedding array<float or double>)."""
     spark = vectors.sparkSession
     tune(spark, 2000)
@@ -107,6 +123,7 @@ def _join_dimension(classes: DataFrame, epsilon: float, threshold: float, axes:
     seen = unit(np.array([r.e for r in classes.select("e").orderBy(F.xxhash64("e"), "id").limit(sample).collect()]))
     # PCA about the origin would keep the mean as an axis; distances don't change with either
     turn = np.linalg.eigh(np.cov(seen.T) if len(seen) > 1 else np.eye(seen.shape[1]))[1][:, ::-1] if seen.shape[1] > 1 else np.eye(1)
+    dim = seen.shape[1]
     cells = [f"c{k}" for k in range(axes)]
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +142,23 @@ def _join_dimension(classes: DataFrame, epsilon: float, threshold: float, axes:
     order = [*cells, "x0", "id"]
     turned = classes.select("e", "id", "n").mapInArrow(rotate, schema).repartitionByRange(n, *order).sortWithinPartitions(*order)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of the sequence, with their boxes."""
-        from pyspark import TaskContext
+    base = scratch_dir(spark)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of the sequence, in a file of the shared folder for each attempt of a task; their places and boxes."""
         part, number, ids, times, xs = TaskContext.get().partitionId(), 0, [], [], []
+        store, name, out, at = Store(base), f"blocks-{uuid.uuid4().hex}", None, 0
 
         def done(k):
-            nonlocal number
+            nonlocal number, out, at
+            out = out or store.create(name)
             x = np.frombuffer(b"".join(xs[:k]), "<f8").reshape(k, -1)
-            row = (part, number, x.min(axis=0).tobytes(), x.max(axis=0).tobytes(), np.array(ids[:k], "<i8").tobytes(), np.array(times[:k], "<i8").tobytes(), x.tobytes())
-            number += 1
+            raw = np.array(ids[:k], "<i8").tobytes() + np.array(times[:k], "<i8").tobytes() + x.tobytes()
+            out.write(raw)
+            row = (part, number, x.min(axis=0).tobytes(), x.max(axis=0).tobytes(), name, at, k)
+            number, at = number + 1, at + len(raw)
             del xs[:k], ids[:k], times[:k]
-            return pa.record_batch([pa.array([v], pa.int32() if i < 2 else pa.binary()) for i, v in enumerate(row)], names=["part", "block", "low", "high", "ids", "times", "x"])
+            return pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()))], names=["part", "block", "low", "high", "file", "at", "size"])
 
         for batch in batches:
             ids += batch.column(0).to_pylist()
@@ -147,9 +168,11 @@ def _join_dimension(classes: DataFrame, epsilon: float, threshold: float, axes:
                 yield done(block)
         if xs:
             yield done(len(xs))
+        if out:
+            out.close()
 
-    blocks = stash(turned.select("id", "n", "x").mapInArrow(cut, "part int, block int, low binary, high binary, ids binary, times binary, x binary"))
-    boxes = blocks.select("part", "block", "low", "high")
+    blocks = stash(turned.select("id", "n", "x").mapInArrow(cut, "part int, block int, low binary, high binary, file string, at long, size long"))
+    boxes = blocks
 
     def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = {}, {}
@@ -172,8 +195,6 @@ def _join_dimension(classes: DataFrame, epsilon: float, threshold: float, axes:
 
     @F.pandas_udf("boolean")
     def touching(a_low, a_high, b_low, b_high):
-        import pandas as pd
-
         al, ah, bl, bh = (np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1) for v in (a_low, a_high, b_low, b_high)) if len(a_low) else (np.zeros((0, 1)),) * 4
         gap = np.maximum(0, np.maximum(al - bh, bl - ah))
         return pd.Series((gap * gap).sum(axis=1) <= epsilon * epsilon + SLACK)
@@ -181,15 +202,23 @@ def _join_dimension(classes: DataFrame, epsilon: float, threshold: float, axes:
     left, right = (boxes.select(*(F.col(c).alias(f"{side}_{c}") for c in boxes.columns)) for side in "ab")
     met = pairs.join(left, F.col("p") == F.col("a_part")).join(right, F.col("q") == F.col("b_part"))
     met = met.where((F.col("a_part") < F.col("b_part")) | (F.col("a_block") <= F.col("b_block")))
-    met = met.where(touching("a_low", "a_high", "b_low", "b_high")).select("a_part", "a_block", "b_part", "b_block")
-    full = [blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in ("part", "block", "ids", "times", "x"))) for side in "ab"]
-    work = met.join(full[0], ["a_part", "a_block"]).join(full[1], ["b_part", "b_block"]).repartition(n)
+    work = met.where(touching("a_low", "a_high", "b_low", "b_high")).select(*(f"{s}_{c}" for s in "ab" for c in ("file", "at", "size"))).repartition(n)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, kept = Store(base), OrderedDict()
+
+        def load(name: str, at: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if (name, at) not in kept:
+                if len(kept) >= 8:
+                    kept.popitem(last=False)
+                raw = store.read(name, at, size * (16 + 8 * dim))
+                kept[name, at] = np.frombuffer(raw, "<i8", size), np.frombuffer(raw, "<i8", size, 8 * size), np.frombuffer(raw, "<f8", size * dim, 16 * size).reshape(size, dim)
+            kept.move_to_end((name, at))
+            return kept[name, at]
+
         for batch in batches:
-            for same, ai, at, ax, bi, bt, bx in zip(*(c.to_pylist() for c in batch.columns)):
-                ai, at, bi, bt = (np.frombuffer(v, "<i8") for v in (ai, at, bi, bt))
-                a, b = (np.frombuffer(x, "<f8").reshape(len(i), -1) for x, i in ((ax, ai), (bx, bi)))
+            for one, other in sorted((r[:3], r[3:]) for r in zip(*(c.to_pylist() for c in batch.columns))):
+                (ai, at, a), (bi, bt, b), same = load(*one), load(*other), one == other
                 more_a, more_b, u, v = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), [], []
                 held = 0
                 for i, j in near_pairs(a, None if same else b, epsilon, threshold):
@@ -208,6 +237,5 @@ def _join_dimension(classes: DataFrame, epsilon: float, threshold: float, axes:
                 pad = lambda x: pa.array(x.tolist() + [None] * (size - len(x)), pa.int64())
                 yield pa.record_batch([pad(ids), pad(more), pad(fu), pad(fv)], names=["id", "more", "u", "v"])
 
-    same = (F.col("a_part") == F.col("b_part")) & (F.col("a_block") == F.col("b_block"))
-    out = stash(work.select(same.alias("same"), *(f"{s}_{c}" for s in "ab" for c in ("ids", "times", "x"))).mapInArrow(join, "id long, more long, u long, v long"))
+    out = stash(work.mapInArrow(join, "id long, more long, u long, v long"))
     return out.where("id is not null").select("id", "more"), out.where("u is not null").select("u", "v")

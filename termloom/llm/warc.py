@@ -22,11 +22,10 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.shared import parallelism, scratch_dir, stash, tune
+from termloom.llm.shared import Store, parallelism, scratch_dir, stash, tune
 
 CAPTURES = "surt string, page_id long, url string, file string, offset long, size long, record_type string, digest string, refers_to long, refers_surt string"
 CAPTURE_SCHEMA = pa.schema([("surt", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("record_type", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("refers_surt", pa.string())])
@@ -64,26 +63,6 @@ def page_of(field: str) -> int | None:
     return int(digits) if digits else None
 
 
-class Store:
-    """Files below a URI, read by ranges; few stay open."""
-
-    def __init__(self, base: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(base)
-        self.open: OrderedDict = OrderedDict()
-
-    def create(self, name: str):
-        self.fs.create_dir(self.path, recursive=True)
-        return self.fs.open_output_stream(f"{self.path}/{name}", compression=None)
-
-    def read(self, name: str, offset: int, size: int) -> bytes:
-        if name not in self.open:
-            if len(self.open) >= 16:
-                self.open.popitem(last=False)[1].close()
-            self.open[name] = self.fs.open_input_file(f"{self.path}/{name}")
-        self.open.move_to_end(name)
-        return self.open[name].read_at(size, offset)
-
-
 def write_archives(pages: DataFrame, base: str, least: int = 100, level: int = 1) -> DataFrame:
     """A gzip member for each record; captures (CAPTURES) of pages (page_id, url, html)."""
     tune(pages.sparkSession, 500)
