@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.shared import stash, text_column, tune
+from termloom.llm.shared import text_column, tune
 
 #: Bytes that belong to words, A-Z lowered; all others become blanks.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -149,19 +150,26 @@ def shards_of(items: DataFrame, window: int, shard_words: int) -> Iterator[list[
 
 
 def match_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = 2_000_000) -> DataFrame:
-    """docs with n_words long, spans binary (pairs of little-endian int32: word intervals [start, end)), items array<string>."""
+    """docs with n_words long, spans binary (pairs of little-endian int32: word intervals [start, end)), items array<string>.
+
+    Columns of docs with these names are replaced."""
+    found = _matched(docs.drop("n_words", "spans", "items"), items, window, shard_words)
+    return found.withColumnsRenamed({"_n_words": "n_words", "_spans": "spans", "_items": "items"})
+
+
+def _matched(docs: DataFrame, items: DataFrame, window: int, shard_words: int = 2_000_000) -> DataFrame:
+    """docs with _n_words, _spans, _items."""
     tune(docs.sparkSession)
     spark = docs.sparkSession
     plain = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = docs.columns
     out = None
     for number, shard in enumerate(shards_of(items, window, shard_words)):
-        if number:
-            plain = plain if number > 1 else stash(plain)
-        found = _pass(plain, kept, spark.sparkContext.broadcast(SuffixAutomaton(shard, window)), number)
+        if number == 1:
+            plain = plain.select("_row", "text")
+        found = _pass(plain, docs.columns, spark.sparkContext.broadcast(SuffixAutomaton(shard, window)), number)
         out = found if out is None else _merge(out, found)
     if out is None:
-        out = _pass(plain, kept, spark.sparkContext.broadcast(SuffixAutomaton([], window)), 0)
+        out = _pass(plain, docs.columns, spark.sparkContext.broadcast(SuffixAutomaton([], window)), 0)
     return out.drop("_row")
 
 
@@ -185,19 +193,17 @@ def _pass(docs: DataFrame, kept: list[str], automaton, number: int) -> DataFrame
             yield pa.record_batch([*cols, pa.array(counts, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*carried, *names])
 
     used = docs.select(*carried, *([] if "text" in carried else ["text"]))
-    return used.mapInArrow(scan, schema).withColumnsRenamed({"_n_words": "n_words", "_spans": "spans", "_items": "items"})
+    return used.mapInArrow(scan, schema)
 
 
 def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.join(b.select("_row", F.col("spans").alias("_s"), F.col("items").alias("_i")), "_row")
-    return both.withColumn("spans", _union_spans("spans", "_s")).withColumn("items", F.array_sort(F.array_union("items", "_i"))).drop("_s", "_i")
+    both = a.join(b.select("_row", F.col("_spans").alias("_s"), F.col("_items").alias("_i")), "_row")
+    return both.withColumn("_spans", _union_spans("_spans", "_s")).withColumn("_items", F.array_sort(F.array_union("_items", "_i"))).drop("_s", "_i")
 
 
 def _union_spans(a: str, b: str) -> Column:
     @F.pandas_udf("binary")
     def union(x, y):
-        import pandas as pd
-
         out = []
         for p, q in zip(x, y):
             spans: list[list[int]] = []
@@ -224,15 +230,15 @@ def digest(matched: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """docs without the words inside benchmark windows; documents of which more than max_coverage is hit are dropped."""
-    matched = match_benchmark(docs, items, window)
+    matched = _matched(docs, items, window)
     schema = T.StructType(list(docs.schema.fields))
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            spans = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in batch.column(batch.schema.get_field_index("spans")).to_pylist()]
-            total = batch.column(batch.schema.get_field_index("n_words")).to_pylist()
+            spans = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in batch.column(batch.schema.get_field_index("_spans")).to_pylist()]
+            total = batch.column(batch.schema.get_field_index("_n_words")).to_pylist()
             keep, texts = [], []
             for k, (text, cuts, n) in enumerate(zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), spans, total)):
                 if len(cuts) and (cuts[:, 1] - cuts[:, 0]).sum() > max_coverage * n:

@@ -88,10 +88,10 @@ def digest(spans: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = 200) -> DataFrame:
     """docs with every reported span of text replaced; overlapping spans become one mark. Null texts stay null."""
-    spans = find_spans(docs, scope).select("row", "spans").where(F.size("spans") > 0)
+    spans = find_spans(docs, scope).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
     state = "cast(struct('' as out, 0 as pos) as struct<out:string,pos:bigint>)"
     step = f"""(a, x) -> if(x.end <= a.pos, a, struct(
         concat(a.out, if(x.start >= a.pos, concat(substring(text, int(a.pos) + 1, int(x.start - a.pos)), '{mark}'), '')) as out, x.end as pos))"""
-    cleaned = F.expr(f"aggregate(spans, {state}, {step}, a -> concat(a.out, substring(text, int(a.pos) + 1)))")
-    joined = docs.withColumn("row", F.monotonically_increasing_id()).join(spans, "row", "left")
-    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), cleaned).otherwise(F.col("text"))).select(*docs.columns)
+    cleaned = F.expr(f"aggregate(_spans, {state}, {step}, a -> concat(a.out, substring(text, int(a.pos) + 1)))")
+    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(spans, "_row", "left")
+    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cleaned).otherwise(F.col("text"))).select(*docs.columns)
