@@ -16,7 +16,7 @@ def trec(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
 
     The closing tag divides records, so large files split over tasks."""
     raw = spark.read.option("lineSep", "</TEXT>").text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    body = raw.where(F.instr("value", "<TEXT>") > 0).withColumn("_at", F.monotonically_increasing_id()).withColumn("value", F.trim(F.regexp_replace(F.substring_index("value", "<TEXT>", -1), f"^{BLANKS}", "")))
+    body = raw.where(F.instr("value", "<TEXT>") > 0).withColumn("_at", F.monotonically_increasing_id()).withColumn("value", F.regexp_replace(F.substring_index("value", "<TEXT>", -1), f"^{BLANKS}|{BLANKS}$", ""))
     docs = body.select("_file", "_at", F.regexp_extract("value", r"^[^ \t\n\x0B\f\r]*", 0).alias("url"), F.regexp_replace("value", rf"^[^ \t\n\x0B\f\r]*({BLANKS})?", "").alias("text"))
     return with_rank(docs, ["_file", "_at"], "doc_id").select("doc_id", "url", "text") if ordered else docs.select("url", "text")
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from termloom.operators import crawl
 from termloom.operators.postings import tokens
 
 
-def stream(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
+def stream(spark: SparkSession, path: str, schema: str | StructType, files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -21,7 +22,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """start, event_type, n; events later than the watermark are left out, and state is bounded by it."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
     return rows.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
