@@ -25,7 +25,7 @@ def prefixes(text: Column, lower: bool = False) -> Column:
 
 def alnum(text: Column) -> Column:
     """All alphanumeric ASCII runs, then lowered: lowering first would turn other letters into ASCII."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
+    return F.transform(alnum_runs(text), F.lower)
 
 
 def strip_html(html: Column) -> Column:
@@ -41,6 +41,14 @@ def html_alnum(html: Column) -> Column:
 TOKENIZERS = {"letters": letters, "prefix": prefixes, "prefix_lower": lambda t: prefixes(t, True), "alnum": alnum, "html": html_alnum}
 
 
+def alnum_runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
+
+
+#: Tokenizers whose tokens are lowered last: exploded first, they are lowered in generated code, not in a lambda.
+LOWERED_LAST = {"prefix_lower": prefixes, "alnum": alnum_runs, "html": lambda h: alnum_runs(strip_html(h))}
+
+
 def words(text: Column) -> Column:
     """Words between any white space."""
     return _non_empty(F.split(text, BLANKS))

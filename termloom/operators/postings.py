@@ -13,13 +13,15 @@ BLOCK = codes.BLOCK
 
 def tokens(docs: DataFrame, tokenizer: str = "alnum", key: str = "doc_id", column: str = "text") -> DataFrame:
     """doc_id, term: a row for each token."""
-    return docs.select(F.col(key).alias("doc_id"), F.explode(text.TOKENIZERS[tokenizer](F.col(column))).alias("term"))
+    late = text.LOWERED_LAST.get(tokenizer)
+    runs = docs.select(F.col(key).alias("doc_id"), F.explode((late or text.TOKENIZERS[tokenizer])(F.col(column))).alias("term"))
+    return runs.select("doc_id", F.lower("term").alias("term")) if late else runs
 
 
 def positions(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """doc_id, pos, term: the alphanumeric runs of each word between blanks, lowered; a word may hold several."""
     worded = docs.select(F.col(key).alias("doc_id"), F.posexplode(text.words(F.col(column))).alias("pos", "word"))
-    return worded.select("doc_id", F.col("pos").cast("long").alias("pos"), F.explode(text.alnum(F.col("word"))).alias("term"))
+    return worded.select("doc_id", F.col("pos").cast("long").alias("pos"), F.explode(text.alnum_runs(F.col("word"))).alias("term")).select("doc_id", "pos", F.lower("term").alias("term"))
 
 
 def postings(docs: DataFrame, tokenizer: str = "alnum", key: str = "doc_id", column: str = "text") -> DataFrame:

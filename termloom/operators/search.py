@@ -61,7 +61,7 @@ def details(posts: DataFrame, lengths: DataFrame, hits: DataFrame, terms: tuple[
     """hits with terms: array of (term, freq, df) in query order."""
     order = {t: i for i, t in reversed(list(enumerate(terms)))}
     place = reduce(lambda acc, kv: acc.when(F.col("term") == kv[0], kv[1]), order.items(), F.when(F.lit(False), 0))
-    rows = scored(posts, lengths, terms, **corpus).join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")  # hits are k rows
+    rows = scored(posts, lengths, terms, **corpus).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     listed = F.transform(F.sort_array(F.collect_list(F.struct(place.alias("i"), "term", "freq", "df"))), lambda x: F.struct(x["term"].alias("term"), x["freq"].alias("freq"), x["df"].alias("df")))
     return hits.join(rows.groupBy("doc_id").agg(listed.alias("terms")), "doc_id")
 

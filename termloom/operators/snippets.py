@@ -39,9 +39,9 @@ def occurrence(docs: DataFrame, term: str, last: bool = False) -> DataFrame:
 def snippets(docs: DataFrame, terms: tuple[str, ...], hits: DataFrame | None = None) -> DataFrame:
     """doc_id, lp, rp, snippet: ten words around the span, each followed by a blank; of a span of more than fifty words its ends.
 
-    With hits, a few rows, only their documents are read into words."""
+    With hits, only their documents are read into words; a limit on hits lets the planner broadcast them."""
     if hits is not None:
-        docs = docs.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+        docs = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     spans = docs.select("doc_id", text.words(F.col("text")).alias("w")).join(windows(docs, terms), "doc_id", "left")
     n = F.size("w")
     cut = lambda s, e: F.concat(F.array_join(F.slice("w", s + 1, F.greatest(e - s, F.lit(0))), " "), F.lit(" "))
