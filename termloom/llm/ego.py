@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.shared import Store, connected_components, parallelism, scratch_dir, spanning_forest, stash, tune
+from termloom.llm.shared import Store, connected_components, parallelism, scratch_dir, smallest, spanning_forest, stash, tune
 
 UNKNOWN = 1 << 62
 SLACK = 1e-9
@@ -108,7 +108,7 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, axes: int = 6, s
     classes = stash(good.groupBy("e").agg(F.coalesce(F.min("vec_id"), unknown).alias("id"), F.count("*").alias("n")).withColumn("d", F.size("e")))
     links = spark.createDataFrame([], "id long, more long")
     edges = spark.createDataFrame([], "u long, v long")
-    for (d,) in classes.select("d").distinct().limit(1000).collect():
+    for (d,) in classes.select("d").distinct().toLocalIterator():
         counts, forest = _join_dimension(classes.where(F.col("d") == d), epsilon, threshold, min(axes, d), sample, block)
         links, edges = links.unionByName(counts), edges.unionByName(forest)
     more = links.groupBy("id").agg(F.sum("more").alias("more"))
@@ -120,7 +120,7 @@ def similarity_join(vectors: DataFrame, threshold: float = 0.9, axes: int = 6, s
 
 def _join_dimension(classes: DataFrame, epsilon: float, threshold: float, axes: int, sample: int, block: int) -> tuple[DataFrame, DataFrame]:
     spark = classes.sparkSession
-    seen = unit(np.array([r.e for r in classes.select("e").orderBy(F.xxhash64("e"), "id").limit(sample).collect()]))
+    seen = unit(np.array([r.e for r in smallest(classes.select("e", "id"), F.xxhash64("e"), "id", classes.count(), sample).collect()]))
     # PCA about the origin would keep the mean as an axis; distances don't change with either
     turn = np.linalg.eigh(np.cov(seen.T) if len(seen) > 1 else np.eye(seen.shape[1]))[1][:, ::-1] if seen.shape[1] > 1 else np.eye(1)
     dim = seen.shape[1]

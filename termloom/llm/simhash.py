@@ -1,7 +1,7 @@
 """SimHash near-dedup: exact links at a few differing bits through vantage-point trees.
 
 Distinct fingerprints stand for their copies. Vantage points and radii come from a bounded sample (`sample`
-fingerprints); every fingerprint then has one home shard, and by the triangle bound it queries just those further
+fingerprints, or sixteen for each of at most `max_leaves` shards); every fingerprint then has one home shard, and by the triangle bound it queries just those further
 shards whose boundary lies within `radius`. A shard with many homes is divided and its queries go to each part, so
 no task holds an unbounded group; inside a part another tree prunes. Results are exact (recall 1).
 
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.shared import connected_components, parallelism, spanning_forest, stash, text_column, tune
+from termloom.llm.shared import connected_components, parallelism, smallest, spanning_forest, stash, text_column, tune
 
 UNKNOWN = 1 << 62
 
@@ -109,12 +109,13 @@ class VantageTree:
             stack += [(inner, rows[far - radius <= low]), (outer, rows[far + radius >= high])]
 
 
-def link(classes: DataFrame, radius: int = 3, shard: int = 8192, sample: int = 4096, max_leaves: int = 256) -> DataFrame:
+def link(classes: DataFrame, radius: int = 3, shard: int = 8192, sample: int = 4096, max_leaves: int = 1 << 14) -> DataFrame:
     """Edges (u, v) of ids that join all fingerprints of classes (id long, fp long) within radius: a spanning forest of each task's links."""
     spark = classes.sparkSession
     n = classes.count()
     leaves = 1 << min(int(math.log2(max_leaves)), max(0, math.ceil(math.log2(max(1, n / shard)))))
-    points = np.array([r.fp for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
+    few = smallest(classes.select("fp"), F.xxhash64("fp"), "fp", n, max(sample, 16 * leaves))
+    points = few.toArrow().column("fp").to_numpy().view(np.uint64)
     tree = spark.sparkContext.broadcast(VantageTree(points, max(1, len(points) // leaves // 2), depth=int(math.log2(leaves))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +126,13 @@ def link(classes: DataFrame, radius: int = 3, shard: int = 8192, sample: int = 4
                 yield pa.record_batch([pa.array(np.full(len(rows), leaf, np.int32)), *part.columns, pa.array(np.full(len(rows), home))], names=["leaf", "id", "fp", "home"])
 
     routed = stash(classes.select("id", "fp").mapInArrow(deal, "leaf int, id long, fp long, home boolean"))
-    parts = {r.leaf: math.ceil(r.n / (4 * shard)) for r in routed.where("home").groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each of max_leaves at most
-    dense = {k: v for k, v in parts.items() if v > 1}
-    number = F.lit(1)
-    if dense:
-        number = F.coalesce(F.create_map(*[F.lit(x) for kv in dense.items() for x in kv])[F.col("leaf")], F.lit(1))
+    # a row for each shard that has homes, max_leaves at most
+    sizes = stash(routed.where("home").groupBy("leaf").agg(F.ceil(F.count("*") / (4 * shard)).cast("int").alias("parts")))
+    number = F.col("parts")
     # a home lies in one part and also queries the others
     own = F.pmod(F.xxhash64("fp"), number).cast("int")
-    spread = routed.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("home", F.col("home") & (F.col("part") == F.col("own")))
-    total = sum(parts.values()) or 1
+    spread = routed.join(F.broadcast(sizes), "leaf").withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("home", F.col("home") & (F.col("part") == F.col("own")))
+    total = sizes.agg({"parts": "sum"}).first()[0] or 1
     grouped = spread.repartition(max(parallelism(spark), min(total, 4096)), "leaf", "part").sortWithinPartitions("leaf", "part", F.col("home").desc())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.features import LETTERS, fold
-from termloom.llm.shared import text_column, tune
+from termloom.llm.shared import smallest, text_column, tune
 
 FOLDS = 5
 
@@ -110,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: i
     if not toxic:
         return None
     chosen = rows.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", F.lit(1).alias("one"))
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull() & learn).distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).select("doc_id", F.lit(1).alias("one"))
+    known = docs.select("doc_id").where(F.col("doc_id").isNotNull() & learn)
+    others = smallest(known, F.xxhash64("doc_id", F.lit(1)), "doc_id", docs.count(), unlabelled, distinct=True).select("doc_id", F.lit(1).alias("one"))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pos, unl = (collect_features(text.join(F.broadcast(x), "doc_id"), bits) for x in (chosen, others))
     if not pos or not unl:

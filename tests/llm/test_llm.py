@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from termloom.llm import chat, decontam, ego, entries, packing, quality, secrets, simhash, substring, toxicity, warc
-from termloom.llm.shared import connected_components, spanning_forest
+from termloom.llm.shared import connected_components, smallest, spanning_forest
 
 SMALL = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, score double, row long, spans string, k1 long, n long, id long, piece int"
@@ -106,6 +106,15 @@ def test_components(spark):
 # -- 3: archives --------------------------------------------------------------------------------------------------------------
 
 
+def test_thinned_sample_is_the_plain_one(spark):
+    df = spark.range(60_000).union(spark.range(500)).withColumn("x", F.lit(1))
+    key = F.xxhash64("id")
+    plain = [r.id for r in df.distinct().orderBy(key, "id").limit(40).collect()]
+    few = smallest(df, key, "id", df.count(), 40, distinct=True)
+    assert [r.id for r in few.collect()] == plain
+    assert [r.id for r in smallest(df.where("id < 30"), key, "id", 30, 40, distinct=True).collect()] == [r.id for r in df.where("id < 30").distinct().orderBy(key, "id").collect()]
+
+
 def test_surt():
     assert warc.surt("http://U@www.Ex.org:8080/a?b#c") == "org,ex,www:8080)/a?b" and warc.surt("http://x.y") == "y,x)/" and warc.surt(None) == "" and warc.surt("odd") == "odd"
 
