@@ -91,16 +91,20 @@ def interpolative_length(ids: Column) -> Column:
     """Bits of a block of at most 64 ascending ids, whose first and last id and size stand in its header.
 
     The order of coding depends on the size alone, so each element's bounds are a constant look-up, without recursion."""
-    table = F.array(*(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("l"), F.lit(b).alias("r")) for i, a, b in interpolative_neighbours(n))) for n in range(1, BLOCK + 1)))
+    # bounds of all sizes in one parsed literal: those of n elements stand from n * (n - 1) / 2 on, left + 1 and right packed
+    packed = (a + 1 << 8 | b for n in range(1, BLOCK + 1) for _, a, b in interpolative_neighbours(n))
+    table = F.expr(f"array({','.join(map(str, packed))})")
     size = F.size(ids)
+    bounds = F.slice(table, (size * (size - 1) / 2 + 1).cast("int"), size)
 
     def bits(x: Column) -> Column:
-        low = F.when(x["l"] < 0, ids[0]).otherwise(ids[x["l"]] + 1)
-        high = F.when(x["r"] >= size, ids[size - 1]).otherwise(ids[x["r"]] - 1)
-        room = high - low - (x["r"] - x["l"] - 1) + 1
+        left, right = F.shiftright(x, 8) - 1, x.bitwiseAND(255)
+        low = F.when(left < 0, ids[0]).otherwise(ids[left] + 1)
+        high = F.when(right >= size, ids[size - 1]).otherwise(ids[right] - 1)
+        room = high - low - (right - left - 1) + 1
         return F.when(room > 0, F.length(F.bin(room))).otherwise(0)
 
-    return F.aggregate(table[size - 1], F.lit(0).cast("long"), lambda acc, x: acc + bits(x))
+    return F.aggregate(bounds, F.lit(0).cast("long"), lambda acc, x: acc + bits(x))
 
 
 def interpolative_bits(ids: list[int]) -> str:
