@@ -201,6 +201,19 @@ def bm25_batch(spark, sf_dir):
     return search.rank_batch(posts(spark, sf_dir), lengths(spark, sf_dir), wanted)
 
 
+@query(f"""with {POSTS}, {LENGTHS}, wanted as (select distinct item_id as query_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) as term from benchmark),
+found as (select p.* from posts p where term in (select term from wanted)), lexicon as (select term, count(*) as df from found group by term),
+corpus as (select count(*)::double as n, avg(doc_len) as a from lengths),
+scored as (select w.query_id, p.doc_id, ln((n - df + 0.5::double) / (df + 0.5::double)) * 2.2::double * freq / (1.2::double * (0.25::double + 0.75::double * doc_len / a) + freq) as score
+  from found p join wanted w using (term) join lexicon using (term) join lengths using (doc_id), corpus),
+hits as (select query_id, doc_id, round(sum(score), 6) as score from scored group by query_id, doc_id having round(sum(score), 6) <> 0),
+best as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from hits)
+select query_id, doc_id, score, rank from best where rank <= 10""")
+def bm25_batch_whole(spark, sf_dir):
+    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.alnum(F.col("text"))).alias("term"))
+    return search.rank_batch(posts(spark, sf_dir), lengths(spark, sf_dir), wanted, disjunctive=True)
+
+
 @query(f"with {POSTS} select term, min(doc_id) as doc_id from posts where term = 'haing' and doc_id >= 300 group by term")
 def next_geq(spark, sf_dir):
     return postings.next_at_least(posts(spark, sf_dir), "haing", 300)

@@ -83,13 +83,13 @@ def run(posts: DataFrame, lengths: DataFrame, query: Query, k: int = 10, dnf: bo
     return disjunctive(posts, lengths, query.terms, k, **corpus)
 
 
-def rank_batch(posts: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank of many conjunctions at once; queries (query_id, term) are joined, not looped over."""
+def rank_batch(posts: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 10, disjunctive: bool = False) -> DataFrame:
+    """query_id, doc_id, score, rank of many conjunctions (or disjunctions, as of disjunctive()) at once; queries (query_id, term) are joined, not looped over."""
     wanted = queries.distinct()
     need = wanted.groupBy("query_id").agg(F.count("*").alias("need"))
     corpus = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("doc_len").alias("a"))
     found = posts.join(wanted.select("term").distinct(), "term")
     rows = found.join(lexicon(found), "term").join(lengths, "doc_id").join(F.broadcast(corpus)).withColumn("score", bm25(F.col("n"), F.col("df"), F.col("freq"), F.col("doc_len"), F.col("a")))
-    hits = rows.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"), F.count("*").alias("have")).join(need, "query_id").where("have = need")
+    hits = rows.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"), F.count("*").alias("have")).join(need, "query_id").where("score <> 0" if disjunctive else "have = need")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return hits.select("query_id", "doc_id", "score", best.alias("rank")).where(F.col("rank") <= k)

@@ -64,6 +64,14 @@ def test_details_and_alternatives(toy, lengths):
     assert search.alternatives(toy, lengths, ()).collect() == []
 
 
+def test_batch_of_whole_texts(toy, lengths, spark):
+    wanted = spark.createDataFrame([(1, "a"), (1, "c"), (1, "unknown"), (2, "unknown"), (3, "b")], "query_id long, term string")
+    got = search.rank_batch(toy, lengths, wanted, disjunctive=True).orderBy("query_id", "rank").collect()
+    for q, terms in ((1, ("a", "c")), (2, ("unknown",)), (3, ("b",))):
+        assert [(r.doc_id, r.score) for r in got if r.query_id == q] == [(r.doc_id, r.score) for r in search.disjunctive(toy, lengths, terms).collect()]
+    assert search.rank_batch(toy, lengths, wanted.where("query_id = 1")).collect() == []
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 128])
 def test_block_boundaries(spark, n):
     df = spark.range(n).select(F.lit("t").alias("term"), (F.col("id") * 3).alias("doc_id"), F.lit(1).cast("long").alias("freq"))
