@@ -17,11 +17,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that op6 links, the row with the smallest doc_id. Rows without a doc_id have no order and stay."""
-    found = simhash.components(simhash.fingerprints(docs))
-    first = found.where("component_id = doc_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_one", one).where("_one = 1").select(*docs.columns)
+    """Of each group of texts that op6 links, one row: that of the smallest doc_id, ties by a hash of the row. Different
+    texts of one doc_id are rows of their own. Rows without a doc_id have no order and stay."""
+    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    found = simhash.components(simhash.fingerprints(marked, keep=("_row",)))
+    first = found.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "_row")).alias("r")).select("r.*")
+    one = F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy(F.lit(0)))
+    kept = marked.join(first, ["doc_id", "_row"], "left_semi").withColumn("_one", one).where("_one = 1").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -21,11 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.llm.shared import connected_components, parallelism, smallest, spanning_forest, stash, text_column, tune
 
-UNKNOWN = 1 << 62
-
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII blanks
@@ -38,16 +37,17 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp long (the unsigned value's bits)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp long (the unsigned value's bits), and the columns of keep."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x, shingle, seed) for x in text_column(batch, "text")], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    given = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    return given.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), *(given.schema[c] for c in keep)]))
 
 
 class VantageTree:
@@ -192,13 +192,15 @@ def _join(ids, fps, query_ids, queries, tree, radius):
 
 
 def components(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """prints (doc_id, fp) with component_id: the smallest doc_id reachable by links, itself included."""
+    """prints (doc_id, fp) with component (the smallest fp reachable by links) and component_id, the smallest doc_id in it.
+
+    Nodes are fingerprints: rows of one doc_id with different texts link nothing by themselves."""
     prints = stash(prints)
-    unknown = F.lit(UNKNOWN) + F.pmod(F.xxhash64("fp"), F.lit(UNKNOWN - 1))
-    classes = stash(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), unknown).alias("id")))
-    found = connected_components(link(classes, radius))
-    named = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("c"))
-    return prints.join(named.select("fp", F.when(F.col("c") < UNKNOWN, F.col("c")).alias("component_id")), "fp")
+    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    found = connected_components(link(classes.select(F.col("fp").alias("id"), "fp"), radius))
+    named = classes.join(found.select(F.col("id").alias("fp"), "component"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return prints.join(named.select("fp", "component").join(least, "component"), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:

@@ -247,6 +247,15 @@ def test_shards_lose_no_link(spark):
     assert norm([r.u for r in e], [r.v for r in e]) == norm(q, h)
 
 
+def test_one_doc_id_of_several_texts(spark):
+    prints = spark.createDataFrame([(5, 0), (5, 0xFFFFFFFF), (2, 1)], "doc_id long, fp long")
+    assert rows(simhash.components(prints), "fp", "component_id") == [(0, 2), (1, 2), (0xFFFFFFFF, 5)]
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    for given, left in (([(5, a), (5, b)], [(5, a), (5, b)]), ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]), ([(5, a), (5, a), (None, a)], [(5, a), (None, a)])):
+        df = docs(spark, [t for _, t in given], [i for i, _ in given])
+        assert rows(corpus_pipeline.drop_near_duplicates(spark, df, SMALL), "doc_id", "text") == left
+
+
 # -- 7: secrets -----------------------------------------------------------------------------------------------------------------------
 
 
