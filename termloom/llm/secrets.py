@@ -29,13 +29,16 @@ KINDS = (
     ("endpoint", r"""(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>]+""", 0),
     ("opaque", r"[A-Za-z0-9+/]{40,}", 0),
 )
+#: kind's number, pattern, group: identifiers and endpoints in either case, which redact() finds beside KINDS
+ANY_CASE = tuple((n, f"(?i){KINDS[n][1]}", KINDS[n][2]) for n in (3, 4))
 STRONG = "(kind = 0 and size >= 12 or kind = 1 and size >= 18 or kind = 2 and size >= 16)"
 WEAK = f"(not {STRONG} and (kind = 0 and size between 6 and 11 or kind = 3 and size >= 3 or kind = 4 or kind = 5 and size = 40))"
 NAMES = [k for k, _, _ in KINDS]
 
 
-def _part(number: int):
+def _part(slot: int, number: int):
     return lambda x, no: F.struct(
+        F.lit(slot).alias("slot"),
         F.lit(number).alias("kind"),
         no.alias("no"),
         F.length(x["b"]).cast("long").alias("gap"),
@@ -44,26 +47,27 @@ def _part(number: int):
     )
 
 
-def _parts(text: Column) -> list[Column]:
-    """For each kind, its matches with the gap before each."""
-    none = F.expr("cast(array() as array<struct<kind:int,no:int,gap:bigint,len:bigint,size:int>>)")
+def _parts(text: Column, any_case: bool) -> list[Column]:
+    """For each pattern, its matches with the gap before each."""
+    none = F.expr("cast(array() as array<struct<slot:int,kind:int,no:int,gap:bigint,len:bigint,size:int>>)")
     out = []
-    for number, (_, pattern, group) in enumerate(KINDS):
+    patterns = [(n, p, g) for n, (_, p, g) in enumerate(KINDS)] + list(ANY_CASE if any_case else ())
+    for slot, (number, pattern, group) in enumerate(patterns):
         found, kept = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
         zipped = F.arrays_zip(F.split(text, pattern, -1).alias("b"), found.alias("m"), kept.alias("g"))
-        rows = F.filter(F.transform(zipped, _part(number)), lambda x: x["len"] > 0)
+        rows = F.filter(F.transform(zipped, _part(slot, number)), lambda x: x["len"] > 0)
         out.append(F.when(F.rlike(text, F.lit(pattern)), rows).otherwise(none))
     return out
 
 
-def find_spans(docs: DataFrame, scope: int = 200) -> DataFrame:
+def find_spans(docs: DataFrame, scope: int = 200, any_case: bool = False) -> DataFrame:
     """row long, doc_id and spans: sorted array of (start, kind, end, strong). One row for each row of docs (doc_id, text).
 
-    row is monotonically_increasing_id() over docs."""
+    With any_case identifiers and endpoints count in either case, and a span found in both ways is listed twice. row is monotonically_increasing_id() over docs."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row")).select("row", "doc_id", F.concat(*_parts(F.col("text"))).alias("parts"))
+    rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row")).select("row", "doc_id", F.concat(*_parts(F.col("text"), any_case)).alias("parts"))
     each = rows.select("row", "doc_id", F.explode_outer("parts").alias("p")).select("row", "doc_id", "p.*").repartition("row")
-    along = Window.partitionBy("row", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("row", "slot").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(along)).withColumn("start", F.col("end") - F.col("len"))
     placed = placed.withColumn("strong", F.coalesce(F.expr(STRONG), F.lit(False))).withColumn("weak", F.coalesce(F.expr(WEAK), F.lit(False)))
     part = placed.withColumn("is_id", F.col("strong") & (F.col("kind") == 1) | F.col("weak") & (F.col("kind") == 3))
@@ -87,8 +91,8 @@ def digest(spans: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = 200) -> DataFrame:
-    """docs with every reported span of text replaced; overlapping spans become one mark. Null texts stay null."""
-    spans = find_spans(docs, scope).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    """docs with every reported span of text replaced, and those of identifiers and endpoints in either case; overlapping spans become one mark. Null texts stay null."""
+    spans = find_spans(docs, scope, any_case=True).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
     state = "cast(struct('' as out, 0 as pos) as struct<out:string,pos:bigint>)"
     step = f"""(a, x) -> if(x.end <= a.pos, a, struct(
         concat(a.out, if(x.start >= a.pos, concat(substring(text, int(a.pos) + 1, int(x.start - a.pos)), '{mark}'), '')) as out, x.end as pos))"""

@@ -291,6 +291,12 @@ def test_redaction(spark):
     assert not any(brute_base(t) for t in got.values())
 
 
+def test_redaction_in_either_case(spark):
+    texts = ["USERNAME=alice https://h.x/p PASSWORD=hunter22", "CLIENT_ID: x12 and secret=short77", "user=bob HTTPS://H.X/P password=hunter22", "login=bob1 USERNAME:user=alice secret=short77"]
+    got = [r.text for r in secrets.redact(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["[SECRET] [SECRET] [SECRET]", "[SECRET] and [SECRET]", "[SECRET] [SECRET] [SECRET]", "[SECRET] [SECRET] [SECRET]"]
+
+
 def test_secret_plans_have_no_python(spark):
     for df in (entries.Q["op7_secret_scan"](spark, SMALL), secrets.redact(docs(spark, ["x"]))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
