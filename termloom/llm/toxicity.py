@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: i
     pos, unl = (collect_features(text.join(F.broadcast(x), "doc_id"), bits) for x in (chosen, others))
     if not pos or not unl:
         return None
-    return NnPU(bits, min(0.9, max(0.01, toxic / n))).fit(pos, unl)
+    return NnPU(bits, toxic / n if toxic < n else n / (n + 1)).fit(pos, unl)
 
 
 class Used(dict):

@@ -184,6 +184,16 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), model).collect() == [] and toxicity.fit(df.limit(0), given) is None
 
 
+def test_rare_toxicity(spark):
+    texts = [f"clean {'shared' if i % 80 == 0 else 'plain'}" if i >= 10 else "shared nastyword" for i in range(4000)]
+    df = docs(spark, texts)
+    given = spark.createDataFrame([(i, int(i < 10)) for i in range(4000)], "doc_id long, toxic int")
+    model = toxicity.fit(df, given)
+    learned = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    assert model.prior == sum(i < 10 for i in learned) / len(learned) < 0.003
+    assert not any(model.full[f] for f in toxicity.features(b"shared", 20)) and any(model.full[f] for f in toxicity.features(b"nastyword", 20))
+
+
 def test_quality(spark):
     df, given, ones = learnable(spark, "quality")
     model = quality.fit(df, given)
