@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from termloom.functions import codes, text, urls
 from termloom.operators import crawl, postings, reorder, search, snippets
+from termloom.plans.engine import SearchEngine
+from termloom.plans.materialize import shared_folder
 from termloom.plans.queryparse import parse
-from termloom.sources import writers
+from termloom.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,7 +189,7 @@ def result_report(spark, sf_dir):
     return writers.report(told).select("doc_id", F.regexp_replace("line", r" \| $", "").alias("line"))
 
 
-@query(f"""with {POSTS}, {LENGTHS}, wanted as (select distinct item_id as query_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+')[1:2])) as term from benchmark),
+@query(f"""with {POSTS}, {LENGTHS}, wanted as (select distinct item_id as query_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) as term from benchmark),
 need as (select query_id, count(*) as need from wanted group by query_id),
 found as (select p.* from posts p where term in (select term from wanted)), lexicon as (select term, count(*) as df from found group by term),
 corpus as (select count(*)::double as n, avg(doc_len) as a from lengths),
@@ -197,7 +199,7 @@ hits as (select query_id, doc_id, round(sum(score), 6) as score from scored join
 best as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from hits)
 select query_id, doc_id, score, rank from best where rank <= 10""")
 def bm25_batch(spark, sf_dir):
-    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(text.alnum(F.col("text")), 1, 2)).alias("term"))
+    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.alnum(F.col("text"))).alias("term"))
     return search.rank_batch(posts(spark, sf_dir), lengths(spark, sf_dir), wanted)
 
 
@@ -287,10 +289,6 @@ def posting_blocks(spark, sf_dir):
     return postings.blocks(posts(spark, sf_dir))
 
 
-QUERIES["posting_blocks_by_range"] = lambda spark, sf_dir: postings.blocks(posts(spark, sf_dir), scalable=True)
-SQL["posting_blocks_by_range"] = SQL["posting_blocks"]
-
-
 @query(f"with {NUMBERED} select term, block_no, list(doc_id order by doc_id) as doc_ids, list(freq order by doc_id) as freqs from numbered group by term, block_no")
 def block_lists(spark, sf_dir):
     return postings.block_lists(posts(spark, sf_dir))
@@ -305,6 +303,45 @@ def blocks_absolute(spark, sf_dir):
     return coded.groupBy("term", "block_no").agg(F.array_join(listed, "").alias("payload"))
 
 
+VH = lambda x: f"array_to_string(list_transform(range({VB(x)}), lambda i: printf('%02X', (({x} >> (7 * i)) & 127) + case when i = {VB(x)} - 1 then 128 else 0 end)), '')"
+GAMMA = lambda x: f"repeat('0', {BITS(x)} - 1) || ltrim(bin({x}), '0')"
+PACKED = "array_to_string(list_transform(range((len(fb) + 7) // 8), lambda i: printf('%02X', cast(list_sum(list_transform(range(8), lambda k: case when substr(fb, 8 * i + k + 1, 1) = '1' then 1 << k else 0 end)) as bigint))), '')"
+FIRST = f"case when block_no = 0 then {VH('df')} else '' end"
+
+
+@query(f"""with {NUMBERED}, {LEXICON}, lists as (select term, block_no, max(doc_id) as last, string_agg({VH("doc_id")}, '' order by doc_id) as d, string_agg({VH("freq")}, '' order by doc_id) as f from numbered group by term, block_no)
+select term, block_no, concat({FIRST}, {VH("last")}, {VH("(len(d) // 2)")}, {VH("(len(f) // 2)")}, d, f) as payload from lists join lexicon using (term)""")
+def index_varbyte(spark, sf_dir):
+    return postings.varbyte_blocks(posts(spark, sf_dir)).withColumn("payload", F.hex("payload"))
+
+
+@query(f"""with {NUMBERED}, {LEXICON}, gapped as (select *, doc_id - coalesce(lag(doc_id) over (partition by term, block_no order by rn), 0) as gap from numbered),
+bits as (select term, block_no, max(doc_id) as last, string_agg({VH("gap")}, '' order by doc_id) as d, string_agg({GAMMA("freq")}, '' order by doc_id) as fb from gapped group by term, block_no),
+lists as (select *, {PACKED} as f from bits)
+select term, block_no, concat({FIRST}, {VH("last")}, {VH("((len(d) + len(f)) * 4)")}, d, f) as payload from lists join lexicon using (term)""")
+def index_gamma(spark, sf_dir):
+    return postings.gamma_blocks(posts(spark, sf_dir)).select("term", "block_no", F.hex("payload").alias("payload"))
+
+
+READ_BACK = f"with {NUMBERED}, {LEXICON} select term, block_no, any_value(case when block_no = 0 then df end) as df, max(doc_id) as last_doc_id, list(doc_id order by doc_id) as doc_ids, list(freq order by doc_id) as freqs from numbered join lexicon using (term) group by term, block_no"
+
+
+@query(READ_BACK)
+def index_varbyte_read(spark, sf_dir):
+    return postings.read_varbyte_blocks(postings.varbyte_blocks(posts(spark, sf_dir)))
+
+
+@query(READ_BACK)
+def index_gamma_read(spark, sf_dir):
+    return postings.read_gamma_blocks(postings.gamma_blocks(posts(spark, sf_dir)))
+
+
+@query(f"""with {POSTS}, coded as (select *, {VH("doc_id")} as h from posts)
+select term, doc_id, array_to_string(list_transform(range(len(h) // 2), lambda i: reverse(lpad(ltrim(bin(cast('0x' || substr(h, 2 * i + 1, 2) as integer)), '0'), 8, '0'))), '') as bits from coded""")
+def varbyte_bits(spark, sf_dir):
+    return posts(spark, sf_dir).select("term", "doc_id", codes.varbyte_bits(F.col("doc_id")).alias("bits"))
+
+
 @query(f"with {POSTS} select term, doc_id, doc_id - coalesce(lag(doc_id) over w, 0) as gap, row_number() over w as pos from posts window w as (partition by term order by doc_id)")
 def dgaps(spark, sf_dir):
     return postings.gaps(posts(spark, sf_dir))
@@ -349,6 +386,81 @@ def ipc_roundtrip(spark, sf_dir):
     return lists.select("term", "block_no", "bits", ((back == F.col("doc_ids")) & (F.octet_length("payload") == F.ceil(F.col("bits") / 8))).alias("same"))
 
 
+# -- files: written to the shared folder and read back -----------------------------------------------------------------------------
+
+
+def through(spark: SparkSession, write: Callable, read: Callable) -> DataFrame:
+    path = shared_folder(spark)
+    write(path)
+    return read(spark, path)
+
+
+@query(r"select 'http://doc.example/' || doc_id as url, regexp_replace(coalesce(text, ''), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') as text from documents")
+def file_trec(spark, sf_dir):
+    given = docs(spark, sf_dir).select(F.concat(F.lit("http://doc.example/"), "doc_id").alias("url"), "text")
+    return through(spark, lambda at: writers.trec(given, at), lambda s, at: readers.trec(s, at, ordered=False))
+
+
+@query("select url, regexp_extract(html, '(?is)<html[^>]*>.*') || chr(10) as html from pages")
+def file_gov2(spark, sf_dir):
+    return through(spark, lambda at: writers.gov2(table(spark, sf_dir, "pages"), at), readers.gov2)
+
+
+@query(f"with {POSTS} select term, doc_id, freq from posts")
+def file_postings(spark, sf_dir):
+    return through(spark, lambda at: writers.postings(posts(spark, sf_dir), at), readers.postings)
+
+
+@query(f"with {POSTS}, {LEXICON} select * from lexicon")
+def file_lexicon(spark, sf_dir):
+    return through(spark, lambda at: writers.lexicon(postings.lexicon(posts(spark, sf_dir)), at), readers.lexicon)
+
+
+@query(f"with {LENGTHS} select * from lengths")
+def file_document_lengths(spark, sf_dir):
+    return through(spark, lambda at: writers.document_lengths(lengths(spark, sf_dir), at), readers.document_lengths)
+
+
+@query("select page_id as doc_id, url from pages")
+def file_document_map(spark, sf_dir):
+    return through(spark, lambda at: writers.document_map(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url"), at), readers.document_map)
+
+
+@query(f"with {HTML} select p.page_id as doc_id, any_value(url) as url, count(term) as word_count, count(distinct term) as distinct_words from pages p left join html_tokens t on p.page_id = t.page_id group by p.page_id")
+def file_document_info(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    info = postings.document_info(pages, "html", "page_id", "html").join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    return through(spark, lambda at: writers.document_info(info, at), readers.document_info)
+
+
+@query(f"with {POSTS}, {LEXICON} select term, doc_id from posts join lexicon using (term) where df > {OFTEN}")
+def file_term_edges(spark, sf_dir):
+    return through(spark, lambda at: writers.term_edges(postings.term_edges(posts(spark, sf_dir), OFTEN), at), readers.term_edges)
+
+
+@query("select doc_id as old_id, row_number() over (order by source, doc_id) - 1 as new_id from documents")
+def file_permutation(spark, sf_dir):
+    return through(spark, lambda at: writers.permutation(by_source(spark, sf_dir), at), readers.permutation)
+
+
+def engine(spark, sf_dir):
+    return SearchEngine.from_documents(docs(spark, sf_dir)).save(shared_folder(spark))
+
+
+@query(f"with {POSTS} select term, doc_id, freq from posts where term = 'haing'")
+def index_seek(spark, sf_dir):
+    return engine(spark, sf_dir).posts.where("term = 'haing'")
+
+
+@query(f"""{scored_sql(THREE)}, {SPANS}, top as (select doc_id, round(sum(score), 6) as score from scored group by doc_id having count(*) = 3 order by score desc, doc_id limit 10),
+ends as (select w.doc_id, w, lp, rp, greatest(lp - 10, 0) as s, least(rp + 10, len(w)) as e from words w join spanned using (doc_id))
+select t.doc_id, t.score, doc_len, lp, rp, case when rp - lp <= 50 then array_to_string(w[s + 1 : e], ' ') || ' '
+  else array_to_string(w[s + 1 : least(lp + 10, len(w))], ' ') || ' ...... ' || array_to_string(w[rp - 9 : e], ' ') || ' ' end as snippet
+from top t join lengths using (doc_id) join ends using (doc_id)""")
+def index_show(spark, sf_dir):
+    return engine(spark, sf_dir).show("with this by").drop("terms")
+
+
 # -- new numbers ----------------------------------------------------------------------------------------------------------------
 
 PERM = "perm as (select doc_id as old_id, row_number() over (order by source, doc_id) - 1 as new_id from documents)"
@@ -470,6 +582,26 @@ def links_resolved(spark, sf_dir):
     return crawl.links(table(spark, sf_dir, "pages"))
 
 
+ROBOTS = f"robots as (select distinct {HOST('url')} as site, '/a' as prefix from pages where url like 'https:%')"
+
+
+@query(f"with {LINKS}, {ROBOTS} select page_id, link, {HOST('link')} as netloc from links where not exists (select 1 from robots where site = {HOST('link')} and starts_with({PATH('link')}, prefix))")
+def links_robots(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    rules = pages.where(F.col("url").startswith("https:")).select(urls.netloc(F.col("url")).alias("netloc"), F.lit("/a").alias("prefix")).distinct()
+    return crawl.links(pages, rules)
+
+
+BASED = LINKS.replace("from pages)", "from based)")
+
+
+@query(f"""with based as (select page_id, 'https://base.example/d/p' as url, html from pages where page_id % 3 <> 0), {BASED} select page_id, link, {HOST("link")} as netloc from links""")
+def links_base(spark, sf_dir):
+    """A third of the pages has a <base> that is no address, the rest one that is."""
+    base = F.when(F.col("page_id") % 3 == 0, "nonsense").otherwise("https://base.example/d/p")
+    return crawl.links(table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit('<base href="'), base, F.lit('">'), "html")))
+
+
 @query(f"select {HOST('url')} as netloc, count(*) as n from pages group by 1")
 def netloc_counts(spark, sf_dir):
     return crawl.site_counts(table(spark, sf_dir, "pages"))
@@ -514,3 +646,42 @@ def crawl_log(spark, sf_dir):
 @query("select count(*) as files, round(sum(strlen(html)) / (1024.0::double * 1024.0::double), 2) as megabytes from pages")
 def crawl_size(spark, sf_dir):
     return crawl.crawl_size(table(spark, sf_dir, "pages"))
+
+
+@query("""select page_id, case page_id % 5 when 0 then printf('%d %s connection time out', page_id, url) when 1 then printf('%d %s ErrorCode:%d', page_id, url, 400 + page_id % 7)
+when 2 then printf('%d %s URLError', page_id, url) when 3 then printf('%d %s Other weird Error', page_id, url) else printf('%d %s Size: %.2fkb Return code:200', page_id, url, strlen(html) / 1024.0) end as line from pages""")
+def crawl_log_failures(spark, sf_dir):
+    """Outcomes of fetches, dealt over all pages: four kinds of failures and stored pages."""
+    kinds = F.element_at(F.array(*map(F.lit, ("timeout", "http", "url", "other", "stored"))), (F.col("page_id") % 5 + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").withColumn("kind", kinds).withColumn("code", (F.col("page_id") % 7 + 400).cast("int"))
+    return crawl.crawl_log(pages.where("kind = 'stored'"), failures=pages.where("kind <> 'stored'"))
+
+
+# The stored pages name no other stored page. Over a few hosts, with an anchor's path as address, they do.
+WEB = """web as (select page_id, concat('http://w', page_id % 5, '.example', coalesce(regexp_extract_all(html, '<a[^>]* href="([^"]*)"', 1)[page_id % 3 + 1], '/')) as url, html from pages)"""
+
+
+def web(spark, sf_dir):
+    path = F.coalesce(F.get(urls.anchors(F.col("html")), (F.col("page_id") % 3).cast("int")), F.lit("/"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://w"), F.col("page_id") % 5, F.lit(".example"), path).alias("url"), "html")
+
+
+def _levels_sql(levels: int) -> str:
+    parts = [f"with {WEB}", LINKS.replace("from pages)", "from web)"), """first as (select url, min(page_id) as first_page from (select page_id, url from web order by page_id limit 10) group by url)""", f"""seen0 as (select url, netloc, 0 as level from (select url, {HOST("url")} as netloc, row_number() over (partition by {HOST("url")} order by first_page) as rn from first) where rn <= 10)"""]
+    for k in range(1, levels + 1):
+        parts.append(f"""found{k} as (select link as url, {HOST("link")} as netloc, min(page_id) as first_page from links where page_id in (select page_id from web where url in (select url from seen{k - 1} where level = {k - 1})) and link not in (select url from seen{k - 1}) group by link),
+seen{k} as materialized (select * from seen{k - 1} union all select url, f.netloc, {k} from (select *, row_number() over (partition by netloc order by first_page, url) as rn from found{k}) f left join (select netloc, count(*) as n from seen{k - 1} group by netloc) h on f.netloc = h.netloc where rn + coalesce(n, 0) <= 10)""")
+    return ",\n".join(parts) + f" select url, netloc, level from seen{levels}"
+
+
+@query(_levels_sql(3))
+def crawl_levels(spark, sf_dir):
+    return crawl.crawl_bfs(web(spark, sf_dir), 3)
+
+
+def crawl_batches(spark, sf_dir):
+    """Three batches of ten by priority. SQL has no short form; the tests hold it to a walk by hand."""
+    return crawl.crawl_prioritised(web(spark, sf_dir), 3)
+
+
+QUERIES["crawl_batches"] = crawl_batches

@@ -22,6 +22,25 @@ def varbyte_hex(x: Column, stop_bit: bool = True) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), "")
 
 
+def varbyte_bits(x: Column, stop_bit: bool = True) -> Column:
+    """The same bytes as a bit string, each byte's lowest bit first and filled up to eight."""
+    return hex_bits(varbyte_hex(x, stop_bit))
+
+
+def hex_bits(code: Column) -> Column:
+    """Bytes in hexadecimal as a bit string, each byte's lowest bit first."""
+    size = (F.length(code) / 2).cast("int")
+    byte = lambda i: F.reverse(F.lpad(F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 2), 8, "0"))
+    return F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(0), size - 1), byte), "")).otherwise("")
+
+
+def bits_hex(bits: Column) -> Column:
+    """A bit string, filled up with zeros to whole bytes, as their hexadecimal; a byte's first bit is its lowest."""
+    size = F.ceil(F.length(bits) / 8).cast("int")
+    byte = lambda i: F.lpad(F.conv(F.reverse(F.rpad(F.substring(bits, i * 8 + 1, F.lit(8)), 8, "0")), 2, 16), 2, "0")
+    return F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(0), size - 1), byte), "")).otherwise("")
+
+
 def varbyte_decode(code: Column, stop_bit: bool = True) -> Column:
     """The numbers of a hex string of codes."""
     size = (F.length(code) / 2).cast("int")

@@ -9,7 +9,7 @@ from termloom.functions import urls
 from termloom.functions.scores import priority
 from termloom.plans.materialize import written
 
-PER_SITE, BATCH = 10, 10
+PER_SITE, BATCH, LIMIT, REFILL = 10, 10, 12_000, 1_000
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
@@ -38,10 +38,13 @@ def site_counts(addresses: DataFrame, column: str = "url") -> DataFrame:
 
 
 def cap_sites(found: DataFrame, order: list, taken: DataFrame | None = None, most: int = PER_SITE, column: str = "url") -> DataFrame:
-    """At most `most` addresses of a site, counting those taken before (netloc, n)."""
-    numbered = found.withColumn("netloc", urls.netloc(F.col(column))).withColumn("_rn", F.row_number().over(Window.partitionBy("netloc").orderBy(*order)))
+    """At most `most` addresses of a site, counting those taken before (netloc, n).
+
+    The limit on the number in order comes first, alone: so it reaches the window, and of a hot site few rows are sorted."""
+    place = F.row_number().over(Window.partitionBy("netloc").orderBy(*order))
+    numbered = found.withColumn("netloc", urls.netloc(F.col(column))).withColumn("_rn", place).where(F.col("_rn") <= most)
     if taken is None:
-        return numbered.where(F.col("_rn") <= most).drop("_rn")
+        return numbered.drop("_rn")
     joined = numbered.join(taken.select("netloc", F.col("n").alias("_taken")), "netloc", "left")
     return joined.where(F.col("_rn") + F.coalesce("_taken", F.lit(0)) <= most).drop("_rn", "_taken")
 
@@ -63,16 +66,19 @@ def frontier(pages: DataFrame, start: DataFrame, robots: DataFrame | None = None
     return cap_sites(fresh, ["first_page", "url"], site_counts(start.select("url").distinct())).select("url", "netloc", "first_page")
 
 
-def crawl_bfs(pages: DataFrame, levels: int, start: DataFrame | None = None, robots: DataFrame | None = None) -> DataFrame:
-    """url, netloc, level of all addresses that enter the queue; stored pages among them are followed."""
+def crawl_bfs(pages: DataFrame, levels: int, start: DataFrame | None = None, robots: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+    """url, netloc, level of all addresses that enter the queue; stored pages among its first `limit` are followed."""
     start = seeds(pages) if start is None else start
-    seen = written(cap_sites(start.select("page_id", "url"), ["page_id"]).select("url", "netloc", F.lit(0).alias("level")))
+    seen = written(cap_sites(start.select("page_id", "url").dropDuplicates(["url"]), ["page_id"]).select("url", "netloc", F.lit(0).alias("level"), F.col("page_id").alias("first_page")))
     for level in range(1, levels + 1):
-        now = pages.join(seen.where(F.col("level") == level - 1).select("url"), "url", "left_semi")
-        fresh = discovered(links(now, robots)).join(seen.select("url"), "url", "left_anti")
+        before = seen.where(F.col("level") < level - 1).count()
+        if before >= limit:
+            break
+        turn = seen.where(F.col("level") == level - 1).orderBy("first_page", "url").limit(limit - before).select("url")
+        fresh = discovered(links(pages.join(turn, "url", "left_semi"), robots)).join(seen.select("url"), "url", "left_anti")
         capped = cap_sites(fresh, ["first_page", "url"], seen.groupBy("netloc").agg(F.count("*").alias("n")))
-        seen = written(seen.unionByName(capped.select("url", "netloc", F.lit(level).alias("level"))))
-    return seen
+        seen = written(seen.unionByName(capped.select("url", "netloc", F.lit(level).alias("level"), "first_page")))
+    return seen.select("url", "netloc", "level")
 
 
 def link_importance(linked: DataFrame) -> DataFrame:
@@ -93,25 +99,51 @@ def next_batch(rated: DataFrame, n: int = BATCH) -> DataFrame:
     return rated.orderBy(F.desc("score"), "url").limit(n)
 
 
-def crawl_prioritised(pages: DataFrame, batches: int, start: DataFrame | None = None) -> DataFrame:
-    """url, batch in which an address is taken, the best first."""
+def crawl_prioritised(pages: DataFrame, batches: int, start: DataFrame | None = None, limit: int = LIMIT, refill: int = REFILL) -> DataFrame:
+    """url, batch in which an address is taken, the best first, `limit` addresses in all.
+
+    Fetched pages wait, in order of page_id, and are read for links as long as the frontier holds less than `refill`."""
     start = seeds(pages) if start is None else start
-    taken = written(start.select("url", F.lit(0).alias("batch")))
+    taken = written(start.select("url", F.lit(0).alias("batch")).distinct())
+    read = written(start.select("page_id"))
     for batch in range(1, batches + 1):
-        crawled = pages.join(taken.select("url"), "url", "left_semi")
-        best = next_batch(prioritised(pages, crawled).join(taken.select("url"), "url", "left_anti"))
-        taken = written(taken.unionByName(best.select("url", F.lit(batch).alias("batch"))))
+        have = taken.count()
+        if have >= limit:
+            break
+        known = pages.join(read, "page_id", "left_semi")
+        open_ = written(prioritised(pages, known).join(taken.select("url"), "url", "left_anti"))
+        taken = written(taken.unionByName(next_batch(open_, min(BATCH, limit - have)).select("url", F.lit(batch).alias("batch"))))
+        left = open_.join(taken.select("url"), "url", "left_anti").count()
+        waiting = pages.join(taken.select("url"), "url", "left_semi").join(read, "page_id", "left_anti")
+        linked = discovered(links(known.unionByName(waiting))).join(taken.select("url"), "url", "left_anti")
+        fresh = cap_sites(linked, ["first_page", "url"], site_counts(known.select("url").distinct())).groupBy(F.col("first_page").alias("page_id")).agg(F.count("*").alias("n"))
+        # at most `limit` pages have been taken, so the window without keys is bounded
+        before = F.sum("n").over(Window.orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1))
+        queue = waiting.select("page_id").join(fresh, "page_id", "left").withColumn("before", F.coalesce(before, F.lit(0)))
+        read = written(read.unionByName(queue.where(F.col("before") + left < refill).select("page_id")))
     return taken
 
 
-def crawl_log(pages: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """page_id, line: one for each stored page, its size in KB and, with scores (url, score), its priority."""
+#: What a failed fetch logs, by its kind.
+FAILURES = {"timeout": " connection time out", "url": " URLError", "other": " Other weird Error"}
+
+
+def crawl_log(pages: DataFrame, scores: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """page_id, line: one for each stored page, its size in KB and, with scores (url, score), its priority.
+
+    failures (page_id, url, kind, code) are fetches without a page: kind http logs its code, others as FAILURES says."""
     rows = pages.select("page_id", "url", (F.octet_length(F.coalesce("html", F.lit(""))) / 1024.0).alias("kb"))
     line = F.format_string("%d %s Size: %.2fkb Return code:200", F.col("page_id"), F.col("url"), F.bround("kb", 2))
     if scores is not None:
         rows = rows.join(scores.select("url", "score"), "url", "left")
         line = F.concat(line, F.when(F.col("score") != 0, F.format_string(" Priority score:%.2f", "score")).otherwise(""))
-    return rows.select("page_id", line.alias("line"))
+    logged = rows.select("page_id", line.alias("line"))
+    if failures is None:
+        return logged
+    said = F.when(F.col("kind") == "http", F.concat(F.lit(" ErrorCode:"), F.col("code").cast("string")))
+    for kind, text in FAILURES.items():
+        said = said.when(F.col("kind") == kind, text)
+    return logged.unionByName(failures.select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(" "), "url", said.otherwise(FAILURES["other"])).alias("line")))
 
 
 def crawl_size(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import codes, text
-from termloom.plans.materialize import with_rank
+from termloom.plans.materialize import in_ranges, with_carried, written
 
 BLOCK = codes.BLOCK
 
@@ -51,33 +51,42 @@ def document_info(docs: DataFrame, tokenizer: str = "alnum", key: str = "doc_id"
 
 
 def posting_lists(posts: DataFrame) -> DataFrame:
-    """term, df, doc_ids, freqs in order of doc_id: a list for each term, for lexica that fit rows; see blocks otherwise."""
+    """term, df, doc_ids, freqs in order of doc_id: a list for each term, for lexica whose longest list fits a row.
+
+    block_lists holds lists of any length, 64 postings to a row."""
     pairs = F.sort_array(F.collect_list(F.struct("doc_id", "freq")))
     return posts.groupBy("term").agg(F.count("*").alias("df"), pairs.alias("p")).select("term", "df", F.col("p.doc_id").alias("doc_ids"), F.col("p.freq").alias("freqs"))
 
 
-def numbered(posts: DataFrame, scalable: bool = False) -> DataFrame:
-    """posts with rn, from 1 within each term, and block_no.
+def _placed(posts: DataFrame) -> DataFrame:
+    """posts with rn, from 1 within each term, and _before, the doc_id before it in the term's list (null for the first).
+
+    Lists are cut into ranges of (term, doc_id), so that one of any length is spread over tasks; what a range needs of
+    earlier ones is a count and a doc_id."""
+    carried = with_carried(in_ranges(posts, ["term", "doc_id"]), "term", _n=(F.count("*"), F.sum), _prev=(F.max("doc_id"), F.max))
+    inside = Window.partitionBy("_range", "term").orderBy("doc_id")
+    rn = F.row_number().over(inside) + F.coalesce("_n", F.lit(0))
+    return carried.select(*posts.columns, rn.cast("long").alias("rn"), F.coalesce(F.lag("doc_id").over(inside), "_prev").alias("_before"))
+
+
+def _blocked(posts: DataFrame) -> DataFrame:
+    return _placed(posts).withColumn("block_no", F.floor((F.col("rn") - 1) / BLOCK).cast("long"))
+
 
-    scalable ranks all postings by ranges instead, so that a term in most documents is no single task."""
-    if not scalable:
-        ranked = posts.withColumn("rn", F.row_number().over(Window.partitionBy("term").orderBy("doc_id")).cast("long"))
-    else:
-        every = with_rank(posts, ["term", "doc_id"], "_rank")
-        first = every.groupBy("term").agg(F.min("_rank").alias("_first"))
-        ranked = every.join(first, "term").withColumn("rn", F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first")
-    return ranked.withColumn("block_no", F.floor((F.col("rn") - 1) / BLOCK).cast("long"))
+def numbered(posts: DataFrame) -> DataFrame:
+    """posts with rn, from 1 within each term, and block_no."""
+    return _blocked(posts).drop("_before")
 
 
-def within_blocks(posts: DataFrame, scalable: bool = False) -> DataFrame:
+def within_blocks(posts: DataFrame) -> DataFrame:
     """numbered with gap: the distance to the posting before in the same block, the first counted from -1 so that it is at least 1."""
-    before = F.lag("doc_id").over(Window.partitionBy("term", "block_no").orderBy("rn"))
-    return numbered(posts, scalable).withColumn("gap", F.col("doc_id") - F.coalesce(before, F.lit(-1)))
+    first = (F.col("rn") - 1) % BLOCK == 0
+    return _blocked(posts).withColumn("gap", F.col("doc_id") - F.when(first, F.lit(-1)).otherwise(F.col("_before"))).drop("_before")
 
 
-def blocks(posts: DataFrame, scalable: bool = False) -> DataFrame:
+def blocks(posts: DataFrame) -> DataFrame:
     """term, block_no, n, last_doc_id, and sizes: docid_bytes and freq_bytes absolute in variable bytes, gap_bits and freq_bits in gamma."""
-    return within_blocks(posts, scalable).groupBy("term", "block_no").agg(
+    return within_blocks(posts).groupBy("term", "block_no").agg(
         F.count("*").alias("n"),
         F.max("doc_id").alias("last_doc_id"),
         F.sum(codes.varbyte_length(F.col("doc_id"))).alias("docid_bytes"),
@@ -87,34 +96,80 @@ def blocks(posts: DataFrame, scalable: bool = False) -> DataFrame:
     )
 
 
-def block_lists(posts: DataFrame, scalable: bool = False) -> DataFrame:
+def block_lists(posts: DataFrame) -> DataFrame:
     """term, block_no, doc_ids, freqs: at most 64 each."""
     pairs = F.sort_array(F.collect_list(F.struct("doc_id", "freq")))
-    return numbered(posts, scalable).groupBy("term", "block_no").agg(pairs.alias("p")).select("term", "block_no", F.col("p.doc_id").alias("doc_ids"), F.col("p.freq").alias("freqs"))
+    return numbered(posts).groupBy("term", "block_no").agg(pairs.alias("p")).select("term", "block_no", F.col("p.doc_id").alias("doc_ids"), F.col("p.freq").alias("freqs"))
+
+
+def varbyte_blocks(posts: DataFrame) -> DataFrame:
+    """term, block_no, payload BINARY: the bytes of an index file, whose blocks of a term follow one another.
+
+    A term's first block starts with df. Each has its last doc_id, the bytes of its doc_ids and of its frequencies, then
+    both lists, doc_ids absolute; every number in variable bytes with a stop bit."""
+    hexed = lambda c: F.array_join(F.transform(c, lambda x: codes.varbyte_hex(x)), "")
+    lists = block_lists(posts).join(lexicon(posts), "term").select("*", hexed(F.col("doc_ids")).alias("d"), hexed(F.col("freqs")).alias("f"))
+    size = lambda c: codes.varbyte_hex((F.length(c) / 2).cast("long"))
+    head = F.when(F.col("block_no") == 0, codes.varbyte_hex(F.col("df"))).otherwise("")
+    return lists.select("term", "block_no", F.unhex(F.concat(head, codes.varbyte_hex(F.element_at("doc_ids", -1)), size("d"), size("f"), "d", "f")).alias("payload"))
+
+
+def gamma_blocks(posts: DataFrame) -> DataFrame:
+    """term, block_no, n, payload BINARY: like varbyte_blocks, but doc_ids are gaps within the block (the first absolute)
+    in variable bytes, frequencies are gamma codes filled up to whole bytes (first bit lowest), and one number holds the
+    bits of both lists."""
+    lists = block_lists(posts).join(lexicon(posts), "term")
+    gaps_ = F.transform("doc_ids", lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.element_at("doc_ids", i)))
+    coded = lists.select("term", "block_no", "df", F.size("doc_ids").cast("long").alias("n"), F.element_at("doc_ids", -1).alias("last"), F.array_join(F.transform(gaps_, lambda x: codes.varbyte_hex(x)), "").alias("d"), codes.bits_hex(F.array_join(F.transform("freqs", lambda x: codes.gamma(x)), "")).alias("f"))
+    bits = codes.varbyte_hex((F.length(F.concat("d", "f")) * 4).cast("long"))
+    head = F.when(F.col("block_no") == 0, codes.varbyte_hex(F.col("df"))).otherwise("")
+    return coded.select("term", "block_no", "n", F.unhex(F.concat(head, codes.varbyte_hex(F.col("last")), bits, "d", "f")).alias("payload"))
+
+
+def read_varbyte_blocks(payloads: DataFrame) -> DataFrame:
+    """term, block_no, df (null but for the first block), last_doc_id, doc_ids, freqs from varbyte_blocks' payloads."""
+    numbers = codes.varbyte_decode(F.hex("payload"))
+    skip = F.when(F.col("block_no") == 0, 1).otherwise(0)
+    rows = payloads.select("term", "block_no", numbers.alias("x"), skip.alias("s"))
+    n = ((F.size("x") - 3 - F.col("s")) / 2).cast("int")
+    return rows.select("term", "block_no", F.when(F.col("s") == 1, F.col("x")[0]).alias("df"), F.col("x")[F.col("s")].alias("last_doc_id"), F.slice("x", F.col("s") + 4, n).alias("doc_ids"), F.slice("x", F.col("s") + 4 + n, n).alias("freqs"))
+
+
+def read_gamma_blocks(payloads: DataFrame) -> DataFrame:
+    """term, block_no, df (null but for the first block), last_doc_id, doc_ids, freqs from gamma_blocks' payloads."""
+    code = F.hex("payload")
+    lead = F.when(F.col("block_no") == 0, 3).otherwise(2) + F.col("n")
+    ends = F.filter(F.transform(F.sequence(F.lit(1), F.octet_length("payload")), lambda i: F.when(F.conv(F.substring(code, i * 2 - 1, F.lit(2)), 16, 10).cast("int") >= 128, i)), lambda i: i.isNotNull())
+    cut = F.element_at(ends, lead.cast("int")) * 2  # the bytes before the frequencies end with as many stop bits
+    rows = payloads.select("term", "block_no", "n", codes.varbyte_decode(F.substring(code, F.lit(1), cut)).alias("x"), codes.gamma_decode(codes.hex_bits(F.substring(code, cut + 1, F.length(code)))).alias("freqs"))
+    skip = F.when(F.col("block_no") == 0, 1).otherwise(0)
+    sums = F.aggregate(F.slice("x", skip + 3, F.col("n").cast("int")), F.struct(F.expr("cast(array() as array<bigint>)").alias("ids"), F.lit(0).cast("long").alias("at")), lambda s, g: F.struct(F.concat(s["ids"], F.array(s["at"] + g)).alias("ids"), (s["at"] + g).alias("at")), lambda s: s["ids"])
+    return rows.select("term", "block_no", F.when(skip == 1, F.col("x")[0]).alias("df"), F.col("x")[skip].alias("last_doc_id"), sums.alias("doc_ids"), "freqs")
 
 
 def gaps(posts: DataFrame) -> DataFrame:
-    """term, doc_id, gap over the whole list; the first is absolute."""
-    return posts.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(Window.partitionBy("term").orderBy("doc_id")), F.lit(0))).alias("gap"), F.row_number().over(Window.partitionBy("term").orderBy("doc_id")).cast("long").alias("pos"))
+    """term, doc_id, gap over the whole list, pos; the first is absolute."""
+    return _placed(posts).select("term", "doc_id", (F.col("doc_id") - F.coalesce("_before", F.lit(0))).alias("gap"), F.col("rn").alias("pos"))
 
 
 def gap_decode(gapped: DataFrame) -> DataFrame:
-    """term, pos, doc_id from gaps."""
-    run = Window.partitionBy("term").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.select("term", "pos", F.sum("gap").over(run).alias("doc_id"))
+    """term, pos, doc_id from gaps: sums within ranges, on top of what earlier ranges of the list add up to."""
+    carried = with_carried(in_ranges(gapped, ["term", "pos"]), "term", _sum=(F.sum("gap"), F.sum))
+    run = Window.partitionBy("_range", "term").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return carried.select("term", "pos", (F.sum("gap").over(run) + F.coalesce("_sum", F.lit(0))).alias("doc_id"))
 
 
 def frequent_edges(posts: DataFrame, least: int) -> DataFrame:
-    """term, doc_id of terms in more than `least` documents."""
-    often = lexicon(posts).where(F.col("df") > least)
-    return posts.join(often.select("term"), "term").select("term", "doc_id")
+    """term, doc_id of terms in more than `least` documents. Postings are written, for they are needed several times."""
+    held = written(posts.select("term", "doc_id"))
+    return held.join(lexicon(held).where(F.col("df") > least).select("term"), "term").select("term", "doc_id")
 
 
 def term_edges(posts: DataFrame, least: int) -> DataFrame:
     """term, df, pos, gap of those terms."""
-    kept = posts.join(lexicon(posts).where(F.col("df") > least), "term")
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return kept.select("term", "df", F.row_number().over(w).cast("long").alias("pos"), (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("gap"))
+    held = written(posts.select("term", "doc_id"))
+    often = lexicon(held).where(F.col("df") > least)
+    return gaps(held.join(often.select("term"), "term")).join(often, "term").select("term", "df", "pos", "gap")
 
 
 def from_term(posts: DataFrame, term: str, rows: int = 201) -> DataFrame:

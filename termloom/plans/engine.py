@@ -33,6 +33,8 @@ class SearchEngine:
 
     def show(self, query: str | Query, k: int = 10) -> DataFrame:
         """doc_id, score, doc_len, terms, lp, rp, snippet of the best hits; texts are read for these alone."""
+        if self.docs is None:
+            raise ValueError("snippets need documents: open the index with docs")
         query = parse(query) if isinstance(query, str) else query
         hits = self.search(query, k)
         told = search.details(self.posts, self.lengths, hits, query.terms).join(self.lengths, "doc_id")

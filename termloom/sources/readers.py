@@ -21,21 +21,30 @@ def trec(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
     return with_rank(docs, ["_file", "_at"], "doc_id").select("doc_id", "url", "text") if ordered else docs.select("url", "text")
 
 
-def gov2(spark: SparkSession, path: str) -> DataFrame:
-    """url, html of the <DOC> elements of (gzipped) files; missing and broken files are passed over."""
-    reader = spark.read.option("lineSep", "</DOC>").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+def gov2(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame:
+    """url, html of the <DOC> elements of (gzipped) files. A broken file ends the read, or with skip_broken is passed over
+    as a missing one is; broken_files() names them."""
+    reader = spark.read.option("lineSep", "</DOC>")
+    if skip_broken:
+        reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
     docs = reader.text(path).where(F.instr("value", "<DOC>") > 0)
     return docs.select(F.trim(header_url(F.col("value"))).alias("url"), F.regexp_extract("value", r"(?is)<html[^>]*>.*", 0).alias("html"))
 
 
+def broken_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes of gzipped files that don't begin as one; a file cut short later fails when it is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    return files.where(F.substring("content", 1, 2) != F.unhex(F.lit("1F8B"))).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
 def postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", schema=POSTINGS)
 
 
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """term, df; of a term that stands twice the first line's."""
-    rows = spark.read.csv(path, sep=" ", schema="term string, df long").withColumn("_at", F.monotonically_increasing_id())
-    return rows.groupBy("term").agg(F.min_by("df", "_at").alias("df"))
+    """term, df; of a term that stands twice the first line's, files in the order of their names."""
+    rows = spark.read.csv(path, sep=" ", schema="term string, df long").select("term", "df", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    return rows.groupBy("term").agg(F.min_by("df", F.struct("_file", "_start", "_at")).alias("df"))
 
 
 def document_map(spark: SparkSession, path: str) -> DataFrame:

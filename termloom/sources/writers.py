@@ -39,7 +39,7 @@ def document_info(info: DataFrame, path: str) -> None:
 
 
 def term_edges(edges: DataFrame, path: str) -> None:
-    """Lines `term df first gap gap ...` of edges (term, df, pos, gap)."""
+    """Lines `term df first gap gap ...` of edges (term, df, pos, gap): the format wants a term's list in one line, so in one row."""
     listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "gap"))), lambda x: x["gap"].cast("string"))
     _lines(edges.groupBy("term", "df").agg(F.array_join(listed, " ").alias("gaps")), path, "term", "df", "gaps")
 
@@ -49,8 +49,15 @@ def permutation(perm: DataFrame, path: str) -> None:
 
 
 def trec(docs: DataFrame, path: str) -> None:
-    """docs (url, text) as <TEXT> elements."""
-    docs.select(F.concat(F.lit("<TEXT>\n"), "url", F.lit("\n"), "text", F.lit("\n</TEXT>")).alias("value")).write.mode("overwrite").text(path)
+    """docs (url, text) as <TEXT> elements; a null text is empty."""
+    element = F.concat(F.lit("<TEXT>\n"), "url", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n</TEXT>"))
+    docs.select(element.alias("value")).write.mode("overwrite").text(path)
+
+
+def gov2(pages: DataFrame, path: str) -> None:
+    """pages (url, html) as gzipped <DOC> elements with their address in the header; null html is empty."""
+    element = F.concat(F.lit("<DOC>\n<DOCHDR>\n"), "url", F.lit("\n</DOCHDR>\n"), F.coalesce("html", F.lit("")), F.lit("\n</DOC>"))
+    pages.select(element.alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def report(shown: DataFrame) -> DataFrame:

@@ -67,6 +67,14 @@ def test_varbyte_both_polarities_and_gamma(spark):
     assert spark.createDataFrame([(4, 9)], "n long, b long").select(codes.unary(F.col("n")).alias("u"), codes.aligned(F.col("b")).alias("a")).first() == ("0001", 16)
 
 
+def test_bit_strings(spark):
+    df = spark.createDataFrame([(5,), (300,)], "n long")
+    assert [r[0] for r in df.select(codes.varbyte_bits(F.col("n"))).collect()] == ["10100001", "00110100" + "01000001"]
+    for bits in ("", "1", "101100111", "00000001" * 3):
+        row = spark.createDataFrame([(bits,)], "b string").select(codes.bits_hex(F.col("b")).alias("h")).select("h", codes.hex_bits(F.col("h")).alias("b")).first()
+        assert row.h == codes.pack_bits(bits).hex().upper() and row.b == bits + "0" * (-len(bits) % 8)
+
+
 def test_query_parser():
     assert parse("with AND this by").groups == (("with", "this", "by"),) and not parse("a or b").disjunctive
     assert parse("a b OR c").groups == (("a", "b"), ("c",)) and parse("a b OR c").disjunctive

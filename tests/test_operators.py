@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import crawl, postings, reorder, search, snippets
 from termloom.plans.engine import SearchEngine
-from termloom.plans.materialize import with_rank
+from termloom.plans.materialize import in_ranges, with_rank
 from termloom.plans.queryparse import parse
 from termloom.sources import readers, writers
 from termloom.streaming import incremental
@@ -75,9 +75,52 @@ def test_batch_of_whole_texts(toy, lengths, spark):
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 128])
 def test_block_boundaries(spark, n):
     df = spark.range(n).select(F.lit("t").alias("term"), (F.col("id") * 3).alias("doc_id"), F.lit(1).cast("long").alias("freq"))
-    for scalable in (False, True):
-        sizes = [r.n for r in postings.blocks(df, scalable).orderBy("block_no").collect()]
-        assert sum(sizes) == n and len(sizes) == -(-n // 64) and all(s == 64 for s in sizes[:-1])
+    sizes = [r.n for r in postings.blocks(df).orderBy("block_no").collect()]
+    assert sum(sizes) == n and len(sizes) == -(-n // 64) and all(s == 64 for s in sizes[:-1])
+
+
+@pytest.fixture
+def whole_partitions(spark):
+    """Small partitions stay apart."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_lists_over_several_ranges(spark, whole_partitions):
+    """One term in most documents: its list is cut into ranges, and numbers, gaps and sums go on across them."""
+    df = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.lit("zz")).otherwise(F.lit("hot")).alias("term"), (F.col("id") * 3 + 2).alias("doc_id"), (F.col("id") % 5 + 1).alias("freq"))
+    assert in_ranges(df, ["term", "doc_id"]).where("term = 'hot'").select("_range").distinct().count() > 1
+    want, at = {}, {}
+    for t, d in sorted((r.term, r.doc_id) for r in df.collect()):
+        n, before = at.get(t, (0, None))
+        want[t, d] = (n + 1, n // 64, d - (before or 0), d + 1 if n % 64 == 0 else d - before)
+        at[t] = (n + 1, d)
+    rows = {(r.term, r.doc_id): r for r in postings.within_blocks(df).collect()}
+    gapped = postings.gaps(df)
+    whole = {(r.term, r.doc_id): r for r in gapped.collect()}
+    assert {k: (rows[k].rn, rows[k].block_no, whole[k].gap, rows[k].gap) for k in want} == want and all(whole[k].pos == want[k][0] for k in want)
+    back = postings.gap_decode(gapped.select("term", "pos", "gap"))
+    assert {(r.term, r.doc_id): r.pos for r in back.collect()} == {k: v[0] for k, v in want.items()}
+    edges = {(r.term, r.pos): (r.df, r.gap) for r in postings.term_edges(df, 500).collect()}
+    assert edges == {("hot", v[0]): (3600, v[2]) for (t, _), v in want.items() if t == "hot"}
+
+
+def test_index_payloads(spark):
+    """Bytes by hand for one short list, and both formats read back."""
+    by_hand = spark.createDataFrame([("t", 5, 1), ("t", 300, 3)], "term string, doc_id long, freq long")
+    assert postings.varbyte_blocks(by_hand).select(F.hex("payload")).first()[0] == "82" + "2C82" + "83" + "82" + "85" + "2C82" + "81" + "83"
+    # gaps 5 and 295; gamma of 1 and 3 is 1, 011: bits 1011, the first lowest
+    assert postings.gamma_blocks(by_hand).select(F.hex("payload")).first()[0] == "82" + "2C82" + "A0" + "85" + "2782" + "0D"
+    df = spark.range(300).select(F.when(F.col("id") % 7 == 0, F.lit("b")).otherwise(F.lit("a")).alias("term"), (F.col("id") * F.col("id") % 9001 * 50 + F.col("id")).alias("doc_id"), (F.col("id") % 300 + 1).alias("freq")).dropDuplicates(["term", "doc_id"])
+    lists = {(r.term, r.block_no): (r.doc_ids, r.freqs) for r in postings.block_lists(df).collect()}
+    sizes = {r.term: r.df for r in postings.lexicon(df).collect()}
+    for got in (postings.read_varbyte_blocks(postings.varbyte_blocks(df)), postings.read_gamma_blocks(postings.gamma_blocks(df))):
+        rows = {(r.term, r.block_no): r for r in got.collect()}
+        assert {k: (r.doc_ids, r.freqs) for k, r in rows.items()} == lists
+        assert all(r.last_doc_id == r.doc_ids[-1] and r.df == (sizes[r.term] if r.block_no == 0 else None) for r in rows.values())
 
 
 def test_seek_and_next(toy):
@@ -174,6 +217,126 @@ def test_crawls(spark):
     assert lines[0].endswith("Return code:200 Priority score:2.50") and lines[1].endswith("Return code:200")
 
 
+def graph_of_pages(spark, n=60, seed=3):
+    """Pages that link to one another over a few hosts, several to unknown addresses."""
+    rng = random.Random(seed)
+    address = [f"http://h{i % 7}.com/p{i}" for i in range(n)]
+    rows = [(i, address[i], "<html>" + "".join(f'<a href="{rng.choice(address + [f"http://u{k}.org/x" for k in range(9)])}">l</a>' for _ in range(rng.randrange(0, 7))) + "</html>") for i in range(n)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), rows
+
+
+def named(rows, ids):
+    import re
+
+    out = {}
+    for i, _, html in rows:
+        if i in ids:
+            for link in set(re.findall('href="([^"]*)"', html)):
+                out.setdefault(link, set()).add(i)
+    return out
+
+
+def host(url):
+    return url.split("/")[2]
+
+
+@pytest.mark.parametrize("limit", [12_000, 13])
+def test_levels_against_a_queue(spark, limit):
+    from collections import Counter
+
+    pages, rows = graph_of_pages(spark)
+    by_url = {u: i for i, u, _ in rows}
+    queue = [(0, i, u) for i, u, _ in rows[:4]]
+    for level in (1, 2, 3):
+        before = sum(x[0] < level - 1 for x in queue)
+        turn = sorted((p, u) for k, p, u in queue if k == level - 1)[: max(0, limit - before)]
+        if before >= limit:
+            break
+        found = sorted((min(p), u) for u, p in named(rows, {by_url[u] for _, u in turn if u in by_url}).items() if u not in {x[2] for x in queue})
+        had = Counter(host(x[2]) for x in queue)
+        now = Counter()
+        for p, u in found:
+            now[host(u)] += 1
+            if now[host(u)] + had[host(u)] <= 10:
+                queue.append((level, p, u))
+    got = crawl.crawl_bfs(pages, 3, crawl.seeds(pages, 4), limit=limit)
+    assert sorted((r.url, r.level) for r in got.collect()) == sorted((u, k) for k, _, u in queue)
+
+
+@pytest.mark.parametrize("limit,refill", [(12_000, 1_000), (25, 1_000), (12_000, 12)])
+def test_batches_against_a_heap(spark, limit, refill):
+    """One batch after another, by hand: the best ten, then waiting pages are read until the frontier holds enough."""
+    from collections import Counter
+
+    pages, rows = graph_of_pages(spark)
+    by_url = {u: i for i, u, _ in rows}
+    read, taken = set(range(4)), {u: 0 for _, u, _ in rows[:4]}
+
+    def frontier(ids, without):
+        starts = {u for i, u, _ in rows if i in ids}
+        had, now, out = Counter(map(host, starts)), Counter(), {}
+        for p, u in sorted((min(p), u) for u, p in named(rows, ids).items() if u not in without):
+            now[host(u)] += 1
+            if now[host(u)] + had[host(u)] <= 10:
+                out[u] = p
+        return out, had
+
+    for batch in (1, 2, 3):
+        if len(taken) >= limit:
+            break
+        first, had = frontier(read, {u for i, u, _ in rows if i in read})
+        made = Counter(map(host, first)) + had
+        score = {u: round(5 / made[host(u)] + len(named(rows, read)[u]) - 1, 6) for u in first if u not in taken}
+        for u in sorted(score, key=lambda u: (-score[u], u))[: min(10, limit - len(taken))]:
+            taken[u] = batch
+        left = len([u for u in score if u not in taken])
+        waiting = sorted(by_url[u] for u in taken if u in by_url and by_url[u] not in read)
+        new = Counter(frontier_page for frontier_page in late_frontier(rows, read, waiting, taken).values())
+        held = left
+        for p in waiting:
+            if held < refill:
+                read.add(p)
+            held += new[p]
+    got = crawl.crawl_prioritised(pages, 3, crawl.seeds(pages, 4), limit, refill)
+    assert {r.url: r.batch for r in got.collect()} == taken
+
+
+def late_frontier(rows, read, waiting, taken):
+    from collections import Counter
+
+    had, now, out = Counter(host(u) for i, u, _ in rows if i in read), Counter(), {}
+    for p, u in sorted((min(p), u) for u, p in named(rows, read | set(waiting)).items() if u not in taken):
+        now[host(u)] += 1
+        if now[host(u)] + had[host(u)] <= 10:
+            out[u] = p
+    return out
+
+
+def test_failed_fetches_are_logged(spark):
+    failed = spark.createDataFrame([(7, "http://a.com/7", "timeout", None), (8, "http://a.com/8", "http", 404), (9, "http://a.com/9", "url", None), (10, "http://a.com/10", "odd", None)], "page_id long, url string, kind string, code int")
+    lines = {r.page_id: r.line for r in crawl.crawl_log(site(spark), failures=failed).collect()}
+    assert lines[7] == "7 http://a.com/7 connection time out" and lines[8] == "8 http://a.com/8 ErrorCode:404" and lines[9] == "9 http://a.com/9 URLError" and lines[10] == "10 http://a.com/10 Other weird Error" and len(lines) == 8
+
+
+def test_reader_cases(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    writers.trec(spark.createDataFrame([("http://x/1", None), ("http://x/2", "a")], "url string, text string"), at("t"))
+    assert {tuple(r) for r in readers.trec(spark, at("t"), ordered=False).collect()} == {("http://x/1", ""), ("http://x/2", "a")}
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.txt").write_text("t 1\n")
+    (tmp_path / "l" / "b.txt").write_text("t 2\n" * 5000 + "u 3\n")
+    assert {tuple(r) for r in readers.lexicon(spark, at("l")).collect()} == {("t", 1), ("u", 3)}
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "bad.gz").write_bytes(b"no gzip at all")
+    writers.gov2(spark.createDataFrame([("http://g/1", "<html>x</html>"), ("http://g/2", None)], "url string, html string").coalesce(1), at("g/good"))
+    assert [r.file.rsplit("/", 1)[1] for r in readers.broken_files(spark, at("g")).collect()] == ["bad.gz"]
+    assert {r.url for r in readers.gov2(spark, at("g/*"), skip_broken=True).collect()} == {"http://g/1", "http://g/2"}
+    with pytest.raises(Exception, match="gz"):
+        readers.gov2(spark, at("g/*")).collect()
+    with pytest.raises(ValueError):
+        SearchEngine.from_documents(spark.createDataFrame([(1, "x")], "doc_id long, text string")).__class__(None, None).show("x")
+
+
 def test_files_round_trip(spark, toy, tmp_path):
     at = lambda n: str(tmp_path / n)
     writers.postings(toy, at("p"))
