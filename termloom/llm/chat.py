@@ -5,6 +5,7 @@ as not valid but is still rendered; rows with equal conv_id and turn are ordered
 are turns of their own; rows with a null conv_id form one conversation; further columns are ignored. Memory holds one
 turn: a conversation of any length streams through. Its digests are sequential by nature, so a conversation is the
 unit of work; its turns arrive by an external sort.
+A template whose marks can't be told from texts is refused when it is made.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.shared import tune
+from termloom.llm.shared import sliced
 
 
 @dataclass(frozen=True)
 class Template:
-    """What surrounds a turn, which roles carry loss, and which role may follow which."""
+    """What surrounds a turn, which roles carry loss, and which role may follow which.
+
+    Texts are kept apart from the marks by their first two characters: wherever these stand next to each other in a text
+    (or with backslashes between), one more backslash is put after the first. So no mark can begin in a text, and none
+    can begin at its end, for the two differ. A mark that can't be protected so is refused."""
 
     head: str = "<|im_start|>"
     tail: str = "<|im_end|>\n"
@@ -33,28 +38,47 @@ class Template:
         default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
     )
 
+    def __post_init__(self):
+        for mark in (self.head, self.tail):
+            if len(mark) < 2 or mark[0] == mark[1] or "\\" in mark[:2]:
+                raise ValueError(f"a mark has to begin with two different characters, neither a backslash: {mark!r}")
+        pairs = sorted({(re.escape(m[0]), re.escape(m[1])) for m in (self.head, self.tail)})
+        object.__setattr__(self, "_escape", re.compile("|".join(rf"(?<={a})(?=\\*{b})" for a, b in pairs)))
+        object.__setattr__(self, "_unescape", re.compile("|".join(rf"(?<={a})\\(?=\\*{b})" for a, b in pairs)))
+
+    def escape(self, text: str) -> str:
+        return self._escape.sub(r"\\", text)
+
+    def unescape(self, text: str) -> str:
+        return self._unescape.sub("", text)
+
+    def escape_role(self, role: str) -> str:
+        """In one line, too."""
+        return self.escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+    def unescape_role(self, role: str) -> str:
+        return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], self.unescape(role))
+
 
 CHATML = Template()
-ESCAPE, UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 SEGMENTS = "conv_id long, seg_no long, turn_no long, role string, segment string, loss boolean, valid boolean"
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
 def escape(text: str) -> str:
-    r"""No `<|` is left: one backslash more stands between the two, so control strings can't occur."""
-    return ESCAPE.sub(r"<\\\1|", text)
+    return CHATML.escape(text)
 
 
 def unescape(text: str) -> str:
-    return UNESCAPE.sub(r"<\1|", text)
+    return CHATML.unescape(text)
 
 
 def escape_role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+    return CHATML.escape_role(role)
 
 
 def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+    return CHATML.unescape_role(role)
 
 
 def _flush(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
@@ -67,18 +91,17 @@ READ_SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("tur
 
 def format_chat(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     """Segments (SEGMENTS) of every conversation of turns (conv_id, turn, role, text), in order within a partition."""
-    tune(turns.sparkSession)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state, valid, turn_no = object(), "", True, 0
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for c, role, text in zip(*(x.to_pylist() for x in batch.columns)):
                 if c != conv:
                     conv, state, valid, turn_no = c, template.start, True, 0
                 valid = valid and role in template.follows.get(state, ())
                 state = role
-                for k, (piece, loss) in enumerate(((f"{template.head}{escape_role(role)}\n", False), (escape(text), role in template.loss_roles), (template.tail, False))):
+                for k, (piece, loss) in enumerate(((f"{template.head}{template.escape_role(role)}\n", False), (template.escape(text), role in template.loss_roles), (template.tail, False))):
                     rows.append((c, 3 * turn_no + k, turn_no, role, piece, loss, valid))
                 turn_no += 1
             yield _flush(rows, SEGMENT_SCHEMA)
@@ -100,7 +123,7 @@ def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
                     raise ValueError(f"conversation {conv}: text after the last turn")
                 out.append((conv, open_["n"], open_["turns"].hexdigest(), open_["loss_chars"], open_["loss"].hexdigest(), open_["chars"], open_["valid"]))
 
-        for batch in batches:
+        for batch in sliced(batches):
             for c, piece, loss, valid in zip(*(x.to_pylist() for x in batch.columns)):
                 if c != conv:
                     close()
@@ -108,17 +131,23 @@ def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
                 open_["chars"] += len(piece)
                 open_["valid"] &= valid
                 if loss:
-                    plain = unescape(piece)
+                    plain = template.unescape(piece)
                     open_["loss_chars"] += len(plain)
                     open_["loss"].update(plain.encode())
                 open_["text"] += piece
-                while piece.endswith(template.tail[-1]) and (end := open_["text"].find(template.tail)) >= 0:
-                    head, _, body = open_["text"][:end].partition("\n")
-                    if not head.startswith(template.head):
+                # a turn ends with the first tail behind its role's line
+                while piece.endswith(template.tail[-1]):
+                    text = open_["text"]
+                    if text and not text.startswith(template.head):
                         raise ValueError(f"conversation {conv}: a turn without its mark")
-                    open_["turns"].update(f"{unescape_role(head[len(template.head) :])}\n{unescape(body)}\n".encode())
+                    line = text.find("\n", len(template.head)) + 1
+                    end = text.find(template.tail, line) if line else -1
+                    if end < 0:
+                        break
+                    role, body = text[len(template.head) : line - 1], text[line:end]
+                    open_["turns"].update(f"{template.unescape_role(role)}\n{template.unescape(body)}\n".encode())
                     open_["n"] += 1
-                    open_["text"] = open_["text"][end + len(template.tail) :]
+                    open_["text"] = text[end + len(template.tail) :]
             yield _flush(out, READ_SCHEMA)
             out.clear()
         close()

@@ -3,12 +3,13 @@
 Unit vectors are turned to their principal axes (from a bounded sample, which steers only the speed), sorted by the
 grid cells of width epsilon on the leading axes, and cut into intervals and blocks along that order. Pairs of
 intervals, then of blocks, are skipped where their boxes lie further apart than epsilon; what is left is joined by
-halving both sequences until boxes part or are small. Each pair is settled by its cosine in double precision.
+halving both sequences until boxes part or are small. Each pair is settled by its cosine in double precision, from the
+vectors as they were given.
 
 Cases: a vector that is null, empty or zero, or holds null or non-finite components, links with nothing and keeps its
 row; vectors of other lengths link only with their like; equal vectors stand for each other and are not compared
-again; rows with equal vec_id count as vectors of their own; a null vec_id is carried (component null unless linked);
-further columns are ignored; an empty table gives no rows.
+again; rows with equal vec_id count as vectors of their own; vec_ids may be any number, and a null one is carried
+(its component is null if no linked vector has an id); further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,36 +20,49 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.shared import Store, connected_components, parallelism, scratch_dir, smallest, spanning_forest, stash, tune
+from termloom.llm.shared import Store, connected_components, parallelism, sliced, smallest, spanning_forest, stash, store_dir
 
-UNKNOWN = 1 << 62
 SLACK = 1e-9
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of huge or tiny components stay finite
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no digit and no cosine: squares of huge or tiny components stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray | None, epsilon: float, threshold: float, leaf: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Vectors:
+    """Given vectors, their norms and their unit vectors on the principal axes, in double and single precision."""
+
+    def __init__(self, given: np.ndarray, turn: np.ndarray):
+        self.given = scaled(given)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.given, self.given))
+        self.x = self.given / self.norm[:, None] @ turn
+        self.x4 = self.x.astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def cosines(self, i: np.ndarray, other: Vectors, j: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.given[i], other.given[j]) / (self.norm[i] * other.norm[j])
+
+
+def near_pairs(a: Vectors, b: Vectors | None, epsilon: float, threshold: float, leaf: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i, j) with cosine >= threshold of two sequences in grid order; within one sequence (b None) i < j.
 
     Products in single precision, with their rounding's bound as slack, choose what double precision decides."""
     own = b is None
     b = a if own else b
-    a4, b4 = a.astype(np.float32), b.astype(np.float32)
-    slack = SLACK + 3e-7 * (a.shape[1] + 4)
+    slack = SLACK + 3e-7 * (a.x.shape[1] + 4)
     boxes: dict = {}
 
     def box(side: int, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
         if (side, s, e) not in boxes:
-            x = (b if side else a)[s:e]
+            x = (b if side else a).x[s:e]
             boxes[side, s, e] = x.min(axis=0), x.max(axis=0)
         return boxes[side, s, e]
 
@@ -57,17 +71,15 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, epsilon: float, threshold: f
         (s, e), (t, f) = stack.pop()
         if s == e or t == f or own and s >= f:
             continue
-        (low, high), (low2, high2) = box(0, s, e), box(1, t, f)
-        gap = np.maximum(0, np.maximum(low - high2, low2 - high))
-        if (gap * gap).sum() > epsilon * epsilon + SLACK:
+        if apart(*box(0, s, e), *box(1, t, f), epsilon):
             continue
         if e - s <= leaf and f - t <= leaf:
-            i, j = np.nonzero(a4[s:e] @ b4[t:f].T >= threshold - slack)
+            i, j = np.nonzero(a.x4[s:e] @ b.x4[t:f].T >= threshold - slack)
             if own:
                 up = i + s < j + t
                 i, j = i[up], j[up]
             if len(i):
-                exact = np.einsum("ij,ij->i", a[s + i], b[t + j]) >= threshold
+                exact = a.cosines(s + i, b, t + j) >= threshold
                 yield s + i[exact], t + j[exact]
             continue
         left = [(s, (s + e) // 2), ((s + e) // 2, e)] if e - s > leaf or e - s >= f - t else [(s, e)]
@@ -75,144 +87,150 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, epsilon: float, threshold: f
         stack += [(p, q) for p in left for q in right if not own or p[0] < q[1]]
 
 
-def interval_pairs(low: np.ndarray, high: np.ndarray, epsilon: float) -> list[tuple[int, int]]:
-    """Pairs i <= j of intervals whose boxes are within epsilon, by halving the sequence of intervals."""
-    out, n = [], len(low)
-    stack = [((0, n), (0, n))] if n else []
+def apart(low, high, low2, high2, epsilon: float) -> bool | np.ndarray:
+    """Whether boxes (of the last axis) lie further from each other than epsilon."""
+    gap = np.maximum(0, np.maximum(low - high2, low2 - high))
+    return (gap * gap).sum(axis=-1) > epsilon * epsilon + SLACK
+
+
+def partners(i: int, low: np.ndarray, high: np.ndarray, epsilon: float) -> list[int]:
+    """Intervals from i on whose boxes are within epsilon of the i-th, by halving the sequence of intervals."""
+    out, stack = [], [(i, len(low))]
     while stack:
-        (s, e), (t, f) = stack.pop()
-        if s >= f:
+        t, f = stack.pop()
+        if t == f or apart(low[i], high[i], low[t:f].min(axis=0), high[t:f].max(axis=0), epsilon):
             continue
-        gap = np.maximum(0, np.maximum(low[s:e].min(axis=0) - high[t:f].max(axis=0), low[t:f].min(axis=0) - high[s:e].max(axis=0)))
-        if (gap * gap).sum() > epsilon * epsilon + SLACK:
-            continue
-        if e - s == 1 and f - t == 1:
-            out.append((s, t))
-            continue
-        left = [(s, (s + e) // 2), ((s + e) // 2, e)] if e - s > 1 else [(s, e)]
-        right = [(t, (t + f) // 2), ((t + f) // 2, f)] if f - t > 1 else [(t, f)]
-        stack += [(p, q) for p in left for q in right if p[0] < q[1]]
-    return [(i, j) for i, j in out if i <= j]
+        if f - t == 1:
+            out.append(t)
+        else:
+            stack += [((t + f) // 2, f), (t, (t + f) // 2)]
+    return out
 
 
 def similarity_join(vectors: DataFrame, threshold: float = 0.9, axes: int = 6, sample: int = 4096, block: int = 2048) -> DataFrame:
-    """vec_id, n_links, component_id of vectors (vec_id, embedding array<float or double>)."""
+    """vec_id, n_links, component_id of vectors (vec_id, embedding array<float or double>).
+
+    Different vectors are numbered in a written table, and components are made of these numbers, so that any vec_id may occur."""
     spark = vectors.sparkSession
-    tune(spark, 2000)
     epsilon = math.sqrt(2 - 2 * threshold)
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
     rows = rows.withColumn("good", F.coalesce(F.col("e").isNotNull() & (F.size("e") > 0) & finite & F.exists("e", lambda x: x != 0), F.lit(False)))
     good = rows.where("good")
-    unknown = F.lit(UNKNOWN) + F.pmod(F.xxhash64("e"), F.lit(UNKNOWN - 1))
-    classes = stash(good.groupBy("e").agg(F.coalesce(F.min("vec_id"), unknown).alias("id"), F.count("*").alias("n")).withColumn("d", F.size("e")))
+    counted = good.groupBy("e").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = stash(counted.select("e", "least", "n", F.size("e").alias("d"), F.monotonically_increasing_id().alias("id")))
     links = spark.createDataFrame([], "id long, more long")
     edges = spark.createDataFrame([], "u long, v long")
     for (d,) in classes.select("d").distinct().toLocalIterator():
         counts, forest = _join_dimension(classes.where(F.col("d") == d), epsilon, threshold, min(axes, d), sample, block)
         links, edges = links.unionByName(counts), edges.unionByName(forest)
     more = links.groupBy("id").agg(F.sum("more").alias("more"))
-    named = classes.join(more, "id", "left").join(connected_components(edges), "id", "left")
-    named = named.select("e", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c"))
-    got = good.drop("good").join(named, "e").select("vec_id", "n_links", F.when(F.col("c") < UNKNOWN, F.col("c")).alias("component_id"))
+    named = classes.join(more, "id", "left").join(connected_components(edges), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    named = named.select("e", "least", "c", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    smallest_ = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    got = good.drop("good").join(named.join(smallest_, "c"), "e").select("vec_id", "n_links", "component_id")
     return got.unionByName(rows.where(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length, none null."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
 def _join_dimension(classes: DataFrame, epsilon: float, threshold: float, axes: int, sample: int, block: int) -> tuple[DataFrame, DataFrame]:
     spark = classes.sparkSession
-    seen = unit(np.array([r.e for r in smallest(classes.select("e", "id"), F.xxhash64("e"), "id", classes.count(), sample).collect()]))
+    seen = np.array([r.e for r in smallest(classes.select("e", "id"), F.xxhash64("e"), ["id"], classes.count(), sample).collect()])
+    seen, dim = Vectors(seen, np.eye(seen.shape[1])).x, seen.shape[1]
     # PCA about the origin would keep the mean as an axis; distances don't change with either
-    turn = np.linalg.eigh(np.cov(seen.T) if len(seen) > 1 else np.eye(seen.shape[1]))[1][:, ::-1] if seen.shape[1] > 1 else np.eye(1)
-    dim = seen.shape[1]
+    turn = np.linalg.eigh(np.cov(seen.T) if len(seen) > 1 else np.eye(dim))[1][:, ::-1] if dim > 1 else np.eye(1)
     cells = [f"c{k}" for k in range(axes)]
 
-    def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
-            x = unit(flat) @ turn
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            given = matrix(batch.column(0))
+            x = Vectors(given, turn).x
             cell = np.floor(x[:, :axes] / epsilon).astype(np.int32)
-            packed = x.astype("<f8").tobytes()
-            width = 8 * x.shape[1]
-            yield pa.record_batch([*(pa.array(cell[:, k]) for k in range(axes)), pa.array(x[:, 0]), batch.column(1), batch.column(2), pa.array([packed[k * width : (k + 1) * width] for k in range(len(x))], pa.binary())], names=[*cells, "x0", "id", "n", "x"])
+            packed, width = given.astype("<f8").tobytes(), 8 * dim
+            yield pa.record_batch([*(pa.array(cell[:, k]) for k in range(axes)), pa.array(x[:, 0]), batch.column(1), batch.column(2), pa.array([packed[k * width : (k + 1) * width] for k in range(len(x))], pa.binary())], names=[*cells, "x0", "id", "n", "given"])
 
     n = parallelism(spark)
-    schema = "".join(f"{c} int, " for c in cells) + "x0 double, id long, n long, x binary"
+    schema = "".join(f"{c} int, " for c in cells) + "x0 double, id long, n long, given binary"
     order = [*cells, "x0", "id"]
-    turned = classes.select("e", "id", "n").mapInArrow(rotate, schema).repartitionByRange(n, *order).sortWithinPartitions(*order)
-
-    base = scratch_dir(spark)
+    dealt = classes.select("e", "id", "n").mapInArrow(place, schema).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    base = store_dir(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of the sequence, in a file of the shared folder for each attempt of a task; their places and boxes."""
-        part, number, ids, times, xs = TaskContext.get().partitionId(), 0, [], [], []
+        """Blocks of the sequence, in a file of the shared folder for each attempt of a task: behind them their sizes and
+        boxes. A row for the interval that they make up."""
+        ids, times, given, sizes, boxes = [], [], [], [], []
         store, name, out, at = Store(base), f"blocks-{uuid.uuid4().hex}", None, 0
 
-        def done(k):
-            nonlocal number, out, at
+        def done(k: int) -> None:
+            nonlocal out, at
             out = out or store.create(name)
-            x = np.frombuffer(b"".join(xs[:k]), "<f8").reshape(k, -1)
-            raw = np.array(ids[:k], "<i8").tobytes() + np.array(times[:k], "<i8").tobytes() + x.tobytes()
-            out.write(raw)
-            row = (part, number, x.min(axis=0).tobytes(), x.max(axis=0).tobytes(), name, at, k)
-            number, at = number + 1, at + len(raw)
-            del xs[:k], ids[:k], times[:k]
-            return pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()))], names=["part", "block", "low", "high", "file", "at", "size"])
+            raw = np.frombuffer(b"".join(given[:k]), "<f8").reshape(k, dim)
+            x = Vectors(raw, turn).x
+            sizes.append(k)
+            boxes.append((x.min(axis=0), x.max(axis=0)))
+            at += out.write(np.array(ids[:k], "<i8").tobytes() + np.array(times[:k], "<i8").tobytes() + raw.tobytes())
+            del ids[:k], times[:k], given[:k]
 
         for batch in batches:
             ids += batch.column(0).to_pylist()
             times += batch.column(1).to_pylist()
-            xs += batch.column(2).to_pylist()
-            while len(xs) >= block:
-                yield done(block)
-        if xs:
-            yield done(len(xs))
+            given += batch.column(2).to_pylist()
+            while len(given) >= block:
+                done(block)
+        if given:
+            done(len(given))
         if out:
+            every = np.array(boxes)
+            out.write(np.array(sizes, "<i8").tobytes() + every.astype("<f8").tobytes())
             out.close()
+            row = (TaskContext.get().partitionId(), every[:, 0].min(axis=0).tobytes(), every[:, 1].max(axis=0).tobytes(), name, at, len(sizes))
+            yield pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()))], names=["part", "low", "high", "file", "at", "blocks"])
+
+    intervals = stash(dealt.select("id", "n", "given").mapInArrow(cut, "part int, low binary, high binary, file string, at long, blocks long"))
+    # an interval, and so a row, for each of the shuffle's partitions: their number is a setting, not the data's
+    rows = sorted(tuple(r) for r in intervals.toLocalIterator())
+    known = spark.sparkContext.broadcast(([r[3:] for r in rows], *(np.array([np.frombuffer(r[k], "<f8") for r in rows]) for k in (1, 2))))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of blocks that may hold links, of an interval and those from it on."""
+        places, low, high = known.value
+        store = Store(base)
+
+        def blocks(k: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+            name, at, m = places[k]
+            raw = store.read(name, at, m * 8 * (1 + 2 * dim))
+            sizes = np.frombuffer(raw, "<i8", m)
+            starts = (np.cumsum(sizes) - sizes) * 8 * (2 + dim)
+            return [(name, s, z) for s, z in zip(starts.tolist(), sizes.tolist())], np.frombuffer(raw, "<f8", offset=8 * m).reshape(m, 2, dim)
 
-    blocks = stash(turned.select("id", "n", "x").mapInArrow(cut, "part int, block int, low binary, high binary, file string, at long, size long"))
-    boxes = blocks
-
-    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = {}, {}
         for batch in batches:
-            for p, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
-                lo, hi = np.frombuffer(lo, "<f8"), np.frombuffer(hi, "<f8")
-                low[p] = np.minimum(low.get(p, lo), lo)
-                high[p] = np.maximum(high.get(p, hi), hi)
-        yield pa.record_batch([pa.array(list(low), pa.int32()), pa.array([x.tobytes() for x in low.values()], pa.binary()), pa.array([high[p].tobytes() for p in low], pa.binary())], names=["part", "low", "high"])
-
-    # a box for each of the shuffle's partitions: their number is a setting, not the data's
-    wide: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for r in boxes.select("part", "low", "high").mapInArrow(widest, "part int, low binary, high binary").toLocalIterator():
-        lo, hi = np.frombuffer(r["low"], "<f8"), np.frombuffer(r["high"], "<f8")
-        old = wide.get(r["part"], (lo, hi))
-        wide[r["part"]] = (np.minimum(old[0], lo), np.maximum(old[1], hi))
-    parts = sorted(wide)
-    near = interval_pairs(np.array([wide[p][0] for p in parts]), np.array([wide[p][1] for p in parts]), epsilon) if parts else []
-    pairs = spark.createDataFrame([(parts[i], parts[j]) for i, j in near], "p int, q int")
-
-    @F.pandas_udf("boolean")
-    def touching(a_low, a_high, b_low, b_high):
-        al, ah, bl, bh = (np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1) for v in (a_low, a_high, b_low, b_high)) if len(a_low) else (np.zeros((0, 1)),) * 4
-        gap = np.maximum(0, np.maximum(al - bh, bl - ah))
-        return pd.Series((gap * gap).sum(axis=1) <= epsilon * epsilon + SLACK)
-
-    left, right = (boxes.select(*(F.col(c).alias(f"{side}_{c}") for c in boxes.columns)) for side in "ab")
-    met = pairs.join(left, F.col("p") == F.col("a_part")).join(right, F.col("q") == F.col("b_part"))
-    met = met.where((F.col("a_part") < F.col("b_part")) | (F.col("a_block") <= F.col("b_block")))
-    work = met.where(touching("a_low", "a_high", "b_low", "b_high")).select(*(f"{s}_{c}" for s in "ab" for c in ("file", "at", "size"))).repartition(n)
+            for i in batch.column(0).to_pylist():
+                mine, boxes = blocks(i)
+                for j in partners(i, low, high, epsilon):
+                    theirs, others = (mine, boxes) if i == j else blocks(j)
+                    for k, place_ in enumerate(mine):
+                        from_ = k if i == j else 0
+                        near = from_ + np.flatnonzero(~apart(boxes[k, 0], boxes[k, 1], others[from_:, 0], others[from_:, 1], epsilon))
+                        if len(near):
+                            met = [theirs[m] for m in near]
+                            yield pa.record_batch([*(pa.array([v] * len(met)) for v in place_), *(pa.array(c) for c in zip(*met))], names=WORK)
+
+    WORK = [f"{s}_{c}" for s in "ab" for c in ("file", "at", "size")]
+    work = spark.range(len(rows)).repartition(max(1, min(n, len(rows)))).mapInArrow(meet, ", ".join(f"{c} {'string' if c.endswith('file') else 'long'}" for c in WORK)).repartition(n)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, kept = Store(base), OrderedDict()
 
-        def load(name: str, at: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def load(name: str, at: int, size: int) -> tuple[np.ndarray, np.ndarray, Vectors]:
             if (name, at) not in kept:
                 if len(kept) >= 8:
                     kept.popitem(last=False)
                 raw = store.read(name, at, size * (16 + 8 * dim))
-                kept[name, at] = np.frombuffer(raw, "<i8", size), np.frombuffer(raw, "<i8", size, 8 * size), np.frombuffer(raw, "<f8", size * dim, 16 * size).reshape(size, dim)
+                kept[name, at] = np.frombuffer(raw, "<i8", size), np.frombuffer(raw, "<i8", size, 8 * size), Vectors(np.frombuffer(raw, "<f8", size * dim, 16 * size).reshape(size, dim), turn)
             kept.move_to_end((name, at))
             return kept[name, at]
 

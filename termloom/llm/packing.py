@@ -8,6 +8,7 @@ each solved on several islands; a shard's size doesn't grow with the input or wi
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 import random
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.shared import stash, tune
+from termloom.llm.shared import sliced, stash
 
 #: Byte-level BPE's own division of text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,14 +64,13 @@ def encoder(path: str) -> Encoder:
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, with keep_ids, ids (little-endian uint32)."""
-    tune(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             cols = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py() or "")
@@ -136,10 +136,61 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
     return (-len(bins), sum([sum([sizes[i] for i in b]) ** 2 for b in bins]) / capacity**2)
 
 
+def fullest(items: list[int], sizes: list[int], capacity: int) -> tuple[list[int], list[int], int]:
+    """The choice of items that fills a bin furthest, the others, and the fill (subset sums as bit masks)."""
+    mask, reach = (1 << capacity + 1) - 1, [1]
+    for i in items:
+        reach.append((reach[-1] | reach[-1] << sizes[i]) & mask)
+    fill = at = reach[-1].bit_length() - 1
+    taken, left = [], []
+    for k in range(len(items) - 1, -1, -1):
+        if reach[k] >> at & 1:
+            left.append(items[k])
+        else:
+            taken.append(items[k])
+            at -= sizes[items[k]]
+    return taken, left, fill
+
+
+def settle(bins: list[list[int]], sizes: list[int], capacity: int, rng: random.Random, sweeps: int) -> list[list[int]]:
+    """Replacement (after Falkenauer's hybrid), among bins with room. A document changes places with a larger one of
+    another bin where that fills its own bin further: room gathers in fewer bins. Then each bin exchanges documents with
+    the emptiest one, so that it is as full as it can be, until the emptiest is gone."""
+    bins, fill = list(map(list, bins)), [sum([sizes[i] for i in x]) for x in bins]
+    for _ in range(sweeps):
+        roomy = [k for k in range(len(bins)) if 0 < fill[k] < capacity]
+        if len(roomy) < 2:
+            break
+        low = min(roomy, key=fill.__getitem__)
+        where = {i: k for k in roomy if k != low for i in bins[k]}
+        order = sorted(where, key=sizes.__getitem__)
+        ranks = [sizes[i] for i in order]
+        rng.shuffle(roomy)
+        for k in roomy:
+            for i in bins[k] if k != low else ():
+                at = bisect.bisect_right(ranks, sizes[i] + capacity - fill[k]) - 1
+                while ranks[at] > sizes[i] and (where[order[at]] == k or fill[where[order[at]]] == capacity):
+                    at -= 1
+                if ranks[at] > sizes[i]:
+                    j, other = order[at], where[order[at]]
+                    bins[k][bins[k].index(i)], bins[other][bins[other].index(j)] = j, i
+                    where[i], where[j] = other, k
+                    fill[k] += ranks[at] - sizes[i]
+                    fill[other] -= ranks[at] - sizes[i]
+                    break
+        for k in roomy:
+            if k != low and fill[k] < capacity:
+                taken, left, full = fullest(bins[k] + bins[low], sizes, capacity)
+                if full > fill[k]:
+                    fill[low] += fill[k] - full
+                    bins[k], bins[low], fill[k] = taken, left, full
+    return [x for x in bins if x]
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Whole well-filled bins of b are injected into a; bins of a that hold a duplicate go, and what they displace is best-fitted."""
-    filled = [x for x in b if sum([sizes[i] for i in x]) >= capacity - capacity // 128] or b
-    injected = [list(x) for x in rng.sample(filled, max(1, int(len(filled) * rng.uniform(0.05, 0.3))))]
+    full = [x for x in b if sum([sizes[i] for i in x]) >= capacity - capacity // 128] or b
+    injected = [list(x) for x in rng.sample(full, max(1, int(len(full) * rng.uniform(0.05, 0.3))))]
     have = {i for x in injected for i in x}
     stay, displaced = [], []
     for x in a:
@@ -155,29 +206,34 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
     return best_fit(injected + stay, displaced, sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elite: list[list[list[int]]], rounds: int, population: int) -> list[list[int]]:
-    """The best packing that an island finds, from its own and migrated elite solutions."""
+def evolve(sizes: list[int], capacity: int, seed: int, elite: list[list[list[int]]], rounds: int, population: int, sweeps: int = 4) -> list[list[int]]:
+    """The best packing that an island finds, from its own and migrated elite solutions; done where the bound is met."""
     rng, order = random.Random(seed), sorted(range(len(sizes)), key=lambda i: -sizes[i])
     bound = lower_bound(np.array(sizes), capacity)
     herd = [list(map(list, x)) for x in elite] or [best_fit([], order, sizes, capacity)]
     scored = sorted(((fitness(x, sizes, capacity), x) for x in herd), key=lambda p: p[0], reverse=True)
-    if len(scored[0][1]) <= bound:
-        return scored[0][1]
-    while len(scored) < population:
+    while len(scored) < population and len(scored[0][1]) > bound:
         noisy = sorted(order, key=lambda i: -sizes[i] * rng.uniform(0.9, 1.1))
         x = best_fit([], noisy, sizes, capacity)
         scored.append((fitness(x, sizes, capacity), x))
-    for _ in range(rounds):
         scored.sort(key=lambda p: p[0], reverse=True)
-        if len(scored[0][1]) <= bound:
+    for _ in range(rounds):
+        if len(scored[0][1]) <= bound or len(scored) < 2:
             break
-        a, b = rng.sample(range(len(scored)), 2)
-        a, b = min(a, b), max(a, b)
-        x = crossover(scored[a][1], scored[b][1], sizes, capacity, rng)
+        a, b = sorted(rng.sample(range(len(scored)), 2))
+        x = settle(crossover(scored[a][1], scored[b][1], sizes, capacity, rng), sizes, capacity, rng, sweeps)
         f = fitness(x, sizes, capacity)
         if f > scored[-1][0]:
             scored[-1] = (f, x)
-    return max(scored, key=lambda p: p[0])[1]
+            scored.sort(key=lambda p: p[0], reverse=True)
+    return scored[0][1]
+
+
+def figures(sizes: list[int], capacity: int = 1024, islands: int = 2, rounds: int = 24, population: int = 5) -> tuple[int, int, int]:
+    """Bins of best-fit decreasing, of the genetic algorithm that starts from it, and the bound, for one shard."""
+    greedy = best_fit([], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity)
+    best = min(len(evolve(sizes, capacity, k, [], rounds, population)) for k in range(islands))
+    return len(greedy), best, lower_bound(np.array(sizes), capacity)
 
 
 def _pack_bins(bins: list[list[int]], n: int) -> bytes:

@@ -5,11 +5,12 @@ vector sums its neighbours' index vectors over the whole corpus, and likewise fo
 themselves. Context sums are integers, added up by blocks of rows. A document is the mean and spread of its words'
 vectors and the mean of its marks', with three shares (marks a word, words like the one before, length). The network
 is fitted on at most `bound` labelled rows of the learning folds (documented bound: 6,000), a fifth of which only
-sets the temperature. Every text is read whole.
+sets the temperature. Every text is read whole, in runs of bounded size, so a text of any length needs no more memory.
 
 Cases: null and empty texts pool to zeros and get a score; a null doc_id is not learned from and is scored; labels of
-a document that differ count as the largest; with no labels of both kinds every score is 1; an empty table gives no
-rows; equal rows are scored one by one; further columns pass through.
+a document that differ count as the largest; rows of equal doc_id and text are learned from once and scored one by
+one; where all labels are alike every score is that label (1 or 0), and with no label at all 1, for then nothing is
+known against any text; an empty table gives no rows; further columns pass through (one named score is replaced).
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.features import LETTERS, MARKS, fold, training_rows
-from termloom.llm.shared import text_column, tune
-from termloom.llm.substring import blocks
+from termloom.llm.features import LETTERS, MARKS, chosen_keys, features_of, fold, labelled
+from termloom.llm.shared import pieces, sliced, text_column
 
 FOLDS, HELD = 4, 2
 ROWS, DIM, NONZERO, CHUNK = 8192, 64, 4, 512
@@ -46,11 +46,43 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.permuted(np.tile(np.arange(DIM), (ROWS, 1)), axis=1)[:, :NONZERO].copy(), rng.choice([-1.0, 1.0], (ROWS, NONZERO))
 
 
-def numbered(texts: list[bytes], table: bytes, cache: Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all tokens, and how many each text has."""
-    parts = [t.translate(table).split() for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    return np.fromiter((b for p in parts for b in map(cache.__getitem__, p)), np.int64, int(sizes.sum())), sizes
+def runs(texts: list[bytes], table: bytes, cache: Buckets, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, text's number) of all tokens in order, in runs of about `limit` bytes: a long text goes on from run to run."""
+    held, owners, size = [], [], 0
+
+    def packed() -> tuple[np.ndarray, np.ndarray]:
+        sizes = [len(p) for p in held]
+        return np.fromiter((b for p in held for b in map(cache.__getitem__, p)), np.int64, sum(sizes)), np.repeat(owners, sizes)
+
+    for k, text in enumerate(texts):
+        for piece in pieces(text.translate(table), limit):
+            tokens = piece.split()
+            if tokens:
+                held.append(tokens)
+                owners.append(k)
+            size += len(piece)
+            if size >= limit and held:
+                yield packed()
+                held, owners, size = [], [], 0
+    if held:
+        yield packed()
+
+
+def add_contexts(total: np.ndarray, texts: list[bytes], reach: int, cache: Buckets, places: np.ndarray, signs: np.ndarray, limit: int = 4 << 20) -> None:
+    """Add to total (ROWS * DIM) the index vectors of each token's neighbours up to `reach` away."""
+    for table in (LETTERS, MARKS):
+        tail = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for run in runs(texts, table, cache, limit):
+            before = len(tail[0])  # the last tokens of the run before, each a neighbour of new ones
+            ids, owner = (np.concatenate(x) for x in zip(tail, run))
+            for k in range(1, reach + 1):
+                at = np.arange(max(before, k), len(ids))
+                at = at[owner[at] == owner[at - k]]
+                a, b = ids[at], ids[at - k]
+                for x, y in ((a, b), (b, a)):
+                    for j in range(NONZERO if len(x) else 0):
+                        total += np.bincount(x * DIM + places[y, j], signs[y, j], ROWS * DIM)
+            tail = ids[-reach:], owner[-reach:]
 
 
 def context_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
@@ -58,19 +90,10 @@ def context_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (places, signs) = Buckets(), index_vectors()
-        total, seen = np.zeros(ROWS * DIM), False
-        for _, texts in blocks(batches):
-            for table in (LETTERS, MARKS):
-                ids, sizes = numbered(texts, table, cache)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                for k in range(1, reach + 1):
-                    near = doc[k:] == doc[:-k]
-                    a, b = ids[k:][near], ids[:-k][near]
-                    for x, y in ((a, b), (b, a)):
-                        for j in range(NONZERO if len(x) else 0):
-                            total += np.bincount(x * DIM + places[y, j], signs[y, j], ROWS * DIM)
-                            seen = True
-        if seen:
+        total = np.zeros(ROWS * DIM)
+        for batch in sliced(batches):
+            add_contexts(total, text_column(batch, "text"), reach, cache, places, signs)
+        if total.any():
             parts = total.astype("<i8").reshape(-1, CHUNK * DIM)
             yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["chunk", "sums"])
 
@@ -90,30 +113,28 @@ def context_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
     return (vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray, cache: Buckets) -> np.ndarray:
+def pooled(texts: list[bytes], vectors: np.ndarray, cache: Buckets, limit: int = 1 << 19) -> np.ndarray:
     """A row of features for each text."""
     n = len(texts)
-    out = np.zeros((n, 3 * DIM + 3), np.float32)
-    counts = []
-    for at, table in ((0, LETTERS), (2 * DIM, MARKS)):
-        ids, sizes = numbered(texts, table, cache)
-        counts.append(sizes)
-        some = np.flatnonzero(sizes)
-        if not len(some):
-            continue
-        first = (np.cumsum(sizes) - sizes)[some]
-        per = sizes[some, None]
-        mean = np.add.reduceat(vectors[ids], first, axis=0) / per
-        out[some, at : at + DIM] = mean
-        if at == 0:
-            square = np.add.reduceat((vectors * vectors)[ids], first, axis=0) / per
-            out[some, DIM : 2 * DIM] = np.sqrt(np.maximum(square - mean * mean, 0))
-            doc = np.repeat(np.arange(n), sizes)
-            again = np.concatenate([[False], (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])])
-            out[some, -2] = np.add.reduceat(again.astype(np.float32), first) / sizes[some]
-    out[:, -3] = np.log1p(counts[1] / np.maximum(counts[0], 1))
-    out[:, -1] = np.log1p(counts[0])
-    return out
+    sums, counts, again = np.zeros((n, 3 * DIM)), np.zeros((2, n)), np.zeros(n)
+    for kind, (at, table) in enumerate(((0, LETTERS), (2 * DIM, MARKS))):
+        last = (-1, -1)
+        for ids, owner in runs(texts, table, cache, limit):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            text = owner[first]
+            counts[kind, text] += np.diff(first, append=len(ids))
+            own = vectors[ids]
+            sums[text, at : at + DIM] += np.add.reduceat(own, first, axis=0)
+            if kind == 0:
+                sums[text, DIM : 2 * DIM] += np.add.reduceat(own * own, first, axis=0)
+                same = np.concatenate([[last == (owner[0], ids[0])], (ids[1:] == ids[:-1]) & (owner[1:] == owner[:-1])])
+                again[text] += np.add.reduceat(same.astype(np.float64), first)
+                last = owner[-1], ids[-1]
+    words, marks = np.maximum(counts, 1)
+    mean = sums[:, :DIM] / words[:, None]
+    spread = np.sqrt(np.maximum(sums[:, DIM : 2 * DIM] / words[:, None] - mean * mean, 0))
+    shares = [np.log1p(counts[1] / words), again / words, np.log1p(counts[0])]
+    return np.column_stack([mean, spread, sums[:, 2 * DIM :] / marks[:, None], *shares]).astype(np.float32)
 
 
 class Network:
@@ -156,34 +177,31 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> tuple[np.ndarray, Network | None]:
-    tune(docs.sparkSession)
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> tuple[np.ndarray, Network | float]:
+    """Context vectors, and the network or, where labels are all alike, every text's score."""
     vectors = context_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Buckets()
-        for part, texts in blocks(batches):
-            yield pa.record_batch([part.column(0), part.column(2), pa.array([x.tobytes() for x in pooled(texts, shared.value, cache)], pa.binary())], names=["doc_id", "y", "x"])
+    def make(texts: list[bytes]) -> list[bytes]:
+        return [x.tobytes() for x in pooled(texts, shared.value, Buckets())]
 
-    rows = training_rows(docs, labels, "quality", fold("doc_id", FOLDS) != HELD, bound).mapInArrow(run, "doc_id long, y int, x binary")
-    rows = sorted((r["doc_id"], r["x"], r["y"]) for r in rows.toLocalIterator())
+    given = labelled(labels, "quality", fold("doc_id", FOLDS) != HELD)
+    rows = features_of(docs, chosen_keys(docs, given, bound), make)
     y = np.array([r[2] for r in rows], float)
     if not 0 < (y == 1).sum() < len(y):
-        return vectors, None
-    return vectors, Network().fit(np.array([np.frombuffer(bytes(r[1]), np.float32) for r in rows], np.float64), y)
+        return vectors, float((y == 1).all())  # true of no labels, too
+    return vectors, Network().fit(np.array([np.frombuffer(r[3], np.float32) for r in rows], np.float64), y)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, Network | float]) -> DataFrame:
     """docs with score."""
-    tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, (vectors, network) = Buckets(), shared.value
-        for part, texts in blocks(batches):
-            x = network.scores(pooled(texts, vectors, cache)) if network else np.ones(len(texts))
+        for part in sliced(batches):
+            x = np.full(part.num_rows, network) if isinstance(network, float) else network.scores(pooled(text_column(part, "text"), vectors, cache))
             yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(x)], names=[*names, "score"])
 
     return docs.select(*names).mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType())]))

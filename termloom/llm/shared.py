@@ -1,11 +1,10 @@
-"""Helpers shared by the operators: scratch storage, ASCII tokenising on bytes, connected components."""
+"""Helpers shared by the operators: scratch storage, ASCII tokenising on bytes, bounded samples, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import re
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,62 +12,54 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.plans.materialize import delete, shared_folder
+from termloom.plans.materialize import written as stash
+from termloom.plans.materialize import written_at as stashed
 
-def tune(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small enough that a batch of very long texts fits a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) below a local temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(scratch_dir, "own", None)
-        if base is None:
-            base = scratch_dir.own = "file://" + tempfile.mkdtemp(prefix="termloom-")
-    path = f"{base.rstrip('/')}/termloom-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
+BLANK = re.compile(rb"[\t-\r ]")
 
-_made: list[tuple[SparkSession, str]] = []
 
+def sliced(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about `limit` bytes and at most `rows` rows, without copies: what becomes Python objects stays
+    small whatever the session's batch size."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * limit // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            delete(spark, path)
-        except Exception:  # the session has ended: the folder's owner clears it
-            return
+def pieces(text: bytes, limit: int = 1 << 18) -> Iterator[bytes]:
+    """A text in order, cut before blanks into pieces of about limit bytes: words stay whole."""
+    at = 0
+    while len(text) - at > limit:
+        found = BLANK.search(text, at + limit)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends here and an executor's loss costs nothing."""
-    return stashed(df)[0]
+def store_dir(spark: SparkSession) -> str:
+    """A new folder for a Store; an error at once where Python can't open its file system."""
+    path = shared_folder(spark)
+    file_system(path)
+    return path
 
 
-def stashed(df: DataFrame) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a URI that Hadoop has resolved (file, hdfs, viewfs, s3a as s3, gs, abfs)."""
+    try:
+        return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+    except (pa.ArrowInvalid, NotImplementedError) as e:
+        raise ValueError(f"Python can't open {uri}: set spark.checkpoint.dir to a folder on file, hdfs, s3a, gs or abfs") from e
 
 
 class Store:
     """Files below a URI, read by ranges; few stay open."""
 
     def __init__(self, base: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(base)
+        self.fs, self.path = file_system(base)
         self.open: OrderedDict = OrderedDict()
 
     def create(self, name: str):
@@ -84,12 +75,18 @@ class Store:
         return self.open[name].read_at(size, offset)
 
 
-def smallest(rows: DataFrame, key: Column, ties: str, n: int, take: int, distinct: bool = False) -> DataFrame:
-    """The `take` (distinct) rows of the smallest hashes `key`, of about n in all. Rows that can't be among them go before the sort,
-    so that what meets in one task is bounded by `take`, not by the number of partitions."""
+def smallest(rows: DataFrame, key: Column, ties: str | list[str], n: int, take: int, distinct: bool = False) -> DataFrame:
+    """The `take` (distinct) rows of the smallest hashes `key`, of about n in all, written.
+
+    Rows that are most likely not among them go before the sort, so that what meets in one task is bounded by `take`. Where
+    too few are left, because rows repeat, the share is widened until there are enough or all rows are in."""
     share = min(1.0, (4 * take + 1000) / max(1, n))
-    kept = rows if share == 1 else rows.where(key < F.lit(-(1 << 63) + int(share * (1 << 64))))
-    return (kept.distinct() if distinct else kept).orderBy(key, ties).limit(take)
+    while True:
+        kept = rows if share == 1 else rows.where(key < F.lit(-(1 << 63) + int(share * (1 << 64))))
+        got = stash((kept.distinct() if distinct else kept).orderBy(key, *([ties] if isinstance(ties, str) else ties)).limit(take))
+        if share == 1 or got.count() == take:
+            return got
+        share = min(1.0, 8 * share)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -23,26 +23,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.shared import connected_components, parallelism, smallest, spanning_forest, stash, text_column, tune
+from termloom.llm.shared import connected_components, parallelism, pieces, sliced, smallest, spanning_forest, stash, text_column
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    words = text.lower().split()  # bytes: A-Z only, and the six ASCII blanks
-    if not words:
-        return 0
-    parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else (b" ".join(words),)
-    digests = b"".join(map(xxhash.xxh64_digest, parts, repeat(seed)))
-    n = len(digests) // 8
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(n, 64)
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > n).view(">u8")[0])
+    """Bit by bit the majority of the shingles' hashes, counted a piece of the text at a time."""
+    ones, n, tail = np.zeros(64, np.int64), 0, []
+    for piece in pieces(text.lower()):  # bytes: A-Z only, and the six ASCII blanks
+        words = tail + piece.split()
+        digests = b"".join(map(xxhash.xxh64_digest, map(b" ".join, zip(*(words[k:] for k in range(shingle)))), repeat(seed)))
+        n += len(digests) // 8
+        ones += np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        tail = words[max(0, len(words) - shingle + 1) :]
+    if not n:
+        if not tail:
+            return 0
+        n, ones = 1, np.unpackbits(np.frombuffer(xxhash.xxh64_digest(b" ".join(tail), seed), np.uint8)).astype(np.int64)
+    return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp long (the unsigned value's bits), and the columns of keep."""
-    tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(x, shingle, seed) for x in text_column(batch, "text")], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
@@ -114,7 +118,7 @@ def link(classes: DataFrame, radius: int = 3, shard: int = 8192, sample: int = 4
     spark = classes.sparkSession
     n = classes.count()
     leaves = 1 << min(int(math.log2(max_leaves)), max(0, math.ceil(math.log2(max(1, n / shard)))))
-    few = smallest(classes.select("fp"), F.xxhash64("fp"), "fp", n, max(sample, 16 * leaves))
+    few = smallest(classes.select("fp"), F.xxhash64("fp"), ["fp"], n, max(sample, 16 * leaves))
     points = few.toArrow().column("fp").to_numpy().view(np.uint64)
     tree = spark.sparkContext.broadcast(VantageTree(points, max(1, len(points) // leaves // 2), depth=int(math.log2(leaves))))
 

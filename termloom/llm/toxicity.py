@@ -5,12 +5,12 @@ risk is prior * R+(positives as 1) + max(0, R-(unlabelled as 0) - prior * R-(pos
 features of words (selected by their estimated posterior); where the bracket turns negative, its gradient is ascended instead, as published. The class
 prior is the share of toxic among the labelled rows of the learning folds.
 
-The model is fitted on at most `positives` toxic and `unlabelled` other texts (documented bounds: 4,000 and 8,000);
-every text is scored whole.
+The model is fitted on at most `positives` toxic and `unlabelled` other different texts (documented bounds: 4,000 and
+8,000 rows); every text is scored whole.
 
-Cases: null and empty texts get the bias alone; a null doc_id is not learned from and is scored; rows with equal
-doc_id are scored one by one; with no toxic label in the learning folds every score is 0; an empty table gives no
-rows; further columns are ignored.
+Cases: null and empty texts get the bias alone; a null doc_id is not learned from and is scored; rows of equal doc_id
+and text are learned from once and scored one by one, different texts of one doc_id share its label; with no toxic label in the learning folds every score is 0; an empty
+table gives no rows; a text is read whole, a piece at a time; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,38 +23,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.features import LETTERS, fold
-from termloom.llm.shared import smallest, text_column, tune
+from termloom.llm.features import LETTERS, chosen_keys, features_of, fold, keyed, labelled
+from termloom.llm.shared import pieces, sliced, smallest, text_column
 
 FOLDS = 5
 
 
 def features(word: bytes, bits: int) -> tuple[int, ...]:
-    """Hashed numbers of a word and of its first four and five bytes, which also catch words not seen before."""
+    """Hashed numbers of a word and of its first four and five bytes, which also catch words not seen before. A short
+    word has all three as well, so that words weigh alike whatever their length."""
     mask = (1 << bits) - 1
-    return tuple(xxhash.xxh32_intdigest(x, seed) & mask for seed, x in ((0, word), (4, word[:4]), (5, word[:5])) if seed < len(word))
+    return tuple(xxhash.xxh32_intdigest(x, seed) & mask for seed, x in ((0, word), (4, word[:4]), (5, word[:5])))
 
 
-def present(text: bytes, bits: int) -> np.ndarray:
-    """Sorted distinct features of a text."""
-    return np.unique(np.array([f for w in set(text.translate(LETTERS).split()) for f in features(w, bits)], np.int64))
-
+def words(text: bytes) -> set[bytes]:
+    """Distinct words, found a piece at a time."""
+    found: set[bytes] = set()
+    for piece in pieces(text.translate(LETTERS)):
+        found.update(piece.split())
+    return found
 
-def collect_features(rows: DataFrame, bits: int) -> list[np.ndarray]:
-    """The features of each of a bounded number of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([pa.array([present(t, bits).astype("<i4").tobytes() for t in text_column(batch, "text")], pa.binary())], names=["x"])
 
-    return [np.frombuffer(r["x"], "<i4") for r in rows.select("text").mapInArrow(run, "x binary").toLocalIterator()]
+def present(text: bytes, bits: int) -> np.ndarray:
+    """Sorted distinct features of a text."""
+    return np.unique(np.array([f for w in words(text) for f in features(w, bits)], np.int64))
 
 
 class NnPU:
     """A linear score on features that are present. Used are those which, by the prior, occur in few
     but toxic texts: an estimated posterior near 1, less the more its count is left to chance."""
 
-    def __init__(self, bits: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, least: float = 0.01):
+    def __init__(self, bits: int, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 3e-5, least: float = 0.01):
         self.bits, self.prior, self.rounds, self.rate, self.decay, self.least = bits, prior, rounds, rate, decay, least
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> NnPU:
@@ -69,16 +68,7 @@ class NnPU:
         m = np.zeros(len(used) + 1)
         v = np.zeros(len(used) + 1)
         for step in range(1, self.rounds + 1):
-            zp, zu = (self._score(x) for x in (p, u))
-            sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-            # logistic losses' derivatives: as 1: s - 1, as 0: s
-            negative = np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
-            if negative >= 0:
-                gp, gu = self.prior * (sp - 1) / len(zp) - self.prior * sp / len(zp), su / len(zu)
-            else:
-                gp, gu = self.prior * sp / len(zp), -su / len(zu)
-            g = self._back(p, gp) + self._back(u, gu)
-            g[:-1] += self.decay * self.weights
+            g = self._gradient(p, u)
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             self.weights -= move[:-1]
@@ -88,6 +78,24 @@ class NnPU:
         self.full = full
         return self
 
+    def _risk(self, p, u) -> tuple[float, float]:
+        """prior * R+ of positives as 1, and the bracket: R- of unlabelled as 0 less prior * R- of positives as 0."""
+        zp, zu = self._score(p), self._score(u)
+        return self.prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
+
+    def _gradient(self, p, u) -> np.ndarray:
+        """Of the risk with decay, bias last; where the bracket is negative, of its ascent."""
+        zp, zu = self._score(p), self._score(u)
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        # logistic losses' derivatives: as 1: s - 1, as 0: s
+        if self._risk(p, u)[1] >= 0:
+            gp, gu = self.prior * (sp - 1) / len(zp) - self.prior * sp / len(zp), su / len(zu)
+        else:
+            gp, gu = self.prior * sp / len(zp), -su / len(zu)
+        g = self._back(p, gp) + self._back(u, gu)
+        g[:-1] += self.decay * self.weights
+        return g
+
     def _sparse(self, docs, column):
         cols = [column[x] for x in docs]
         cols = [c[c >= 0] for c in cols]
@@ -103,17 +111,18 @@ class NnPU:
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, bits: int = 20) -> NnPU | None:
-    tune(docs.sparkSession)
     learn = fold("doc_id", FOLDS) != 0
-    rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y")).where(learn)
+    rows = labelled(labels, "toxic", learn)
     n, toxic = rows.agg(F.count("*"), F.sum((F.col("y") == 1).cast("long"))).first()
     if not toxic:
         return None
-    chosen = rows.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id", F.lit(1).alias("one"))
-    known = docs.select("doc_id").where(F.col("doc_id").isNotNull() & learn)
-    others = smallest(known, F.xxhash64("doc_id", F.lit(1)), "doc_id", docs.count(), unlabelled, distinct=True).select("doc_id", F.lit(1).alias("one"))
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pos, unl = (collect_features(text.join(F.broadcast(x), "doc_id"), bits) for x in (chosen, others))
+    few = keyed(docs).where(learn).select("doc_id", "h")
+    others = smallest(few, F.xxhash64("doc_id", "h", F.lit(1)), ["doc_id", "h"], docs.count(), unlabelled, distinct=True).withColumn("y", F.lit(0))
+
+    def make(texts: list[bytes]) -> list[bytes]:
+        return [present(t, bits).astype("<i4").tobytes() for t in texts]
+
+    pos, unl = ([np.frombuffer(r[3], "<i4") for r in features_of(docs, keys, make)] for keys in (chosen_keys(docs, rows.where("y = 1"), positives), others))
     if not pos or not unl:
         return None
     return NnPU(bits, toxic / n if toxic < n else n / (n + 1)).fit(pos, unl)
@@ -135,16 +144,15 @@ class Used(dict):
 
 def score(docs: DataFrame, model: NnPU | None) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.full.astype(np.float32), model.bias, model.bits) if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         used = Used(known[0], known[2]) if known else None
-        for batch in batches:
+        for batch in sliced(batches):
             scores = np.zeros(batch.num_rows)
             for k, text in enumerate(text_column(batch, "text") if known else ()):
-                hits = set().union(*filter(None, map(used.__getitem__, text.translate(LETTERS).split())))
+                hits = set().union(*(f for piece in pieces(text.translate(LETTERS)) for f in filter(None, map(used.__getitem__, piece.split()))))
                 scores[k] = 1 / (1 + np.exp(-np.clip(known[1] + known[0][sorted(hits)].sum(dtype=np.float64), -700, 700)))
             yield pa.record_batch([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 

@@ -1,13 +1,13 @@
 """WARC archives with a two-level capture index.
 
-Captures are sorted by reversed-host URL key and written in compressed blocks; a sparse directory holds each block's
-first key. A look-up searches the shards' first keys, then one shard's directory, by halving, reads one block by its
+Captures are sorted by reversed-host URL key, page, type and digest, and written in compressed blocks; a sparse directory
+holds each block's first key. A look-up searches the shards' first keys, then one shard's directory, by halving, reads one block by its
 range and then one record by its range. Archives and index lie in the shared folder, one file for each task's
 attempt; only files that a finished attempt reported are ever read.
 
 Cases: a null payload is empty; a null or unparsable url is its own key; rows with equal page_id are records of their
-own, and where they share the smallest page_id of equal payloads all of them are responses; payloads under `least`
-bytes are never revisits; an empty table gives no rows; further columns are ignored.
+own whatever their payloads, and where they share the smallest page_id of equal payloads all of them are responses (a
+revisit is looked up with its digest among them); payloads under `least` bytes are never revisits; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.shared import Store, parallelism, scratch_dir, stash, tune
+from termloom.llm.shared import Store, parallelism, sliced, stash, store_dir
 
 CAPTURES = "surt string, page_id long, url string, file string, offset long, size long, record_type string, digest string, refers_to long, refers_surt string"
 CAPTURE_SCHEMA = pa.schema([("surt", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("record_type", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("refers_surt", pa.string())])
+#: What captures are sorted by.
+KEY = ["surt", "page_id", "record_type", "digest"]
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -65,7 +67,6 @@ def page_of(field: str) -> int | None:
 
 def write_archives(pages: DataFrame, base: str, least: int = 100, level: int = 1) -> DataFrame:
     """A gzip member for each record; captures (CAPTURES) of pages (page_id, url, html)."""
-    tune(pages.sparkSession, 500)
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = F.min(F.struct("page_id", "url")).alias("r")
     large = pages.where(F.octet_length("html") >= least)
@@ -75,7 +76,7 @@ def write_archives(pages: DataFrame, base: str, least: int = 100, level: int = 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, name, out, at = Store(base), f"pages-{uuid.uuid4().hex}.warc.gz", None, 0
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for page, url, html, digest, r, r_url in zip(*(c.to_pylist() for c in batch.columns)):
                 out = out or store.create(name)
@@ -93,11 +94,10 @@ def write_archives(pages: DataFrame, base: str, least: int = 100, level: int = 1
 
 
 def write_index(captures: DataFrame, base: str, lines: int = 300) -> DataFrame:
-    """shard (file), entries long, first_surt, first_page: for each shard, whose blocks and directory are in its file.
+    """shard (file), first (key, as JSON), at, size: for each shard, whose blocks and directory are in its file.
 
     A shard's file holds its compressed blocks and, at `at`, its directory: a line for each block."""
-    order = [F.col("surt"), F.coalesce("page_id", F.lit(-1))]
-    dealt = captures.select(*order[:1], order[1].alias("page_id"), "file", "offset", "size").repartitionByRange(parallelism(captures.sparkSession), "surt", "page_id").sortWithinPartitions("surt", "page_id", "file", "offset")
+    dealt = captures.select("surt", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "record_type", "digest", "file", "offset", "size").repartitionByRange(parallelism(captures.sparkSession), *KEY).sortWithinPartitions(*KEY, "file", "offset")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, name, out, at, block, directory = Store(base), f"index-{uuid.uuid4().hex}.cdxz", None, 0, [], []
@@ -106,7 +106,7 @@ def write_index(captures: DataFrame, base: str, lines: int = 300) -> DataFrame:
             nonlocal at
             raw = zlib.compress("\n".join(json.dumps(x) for x in block).encode())
             out.write(raw)
-            directory.append([block[0][0], block[0][1], at, len(raw)])
+            directory.append([*block[0][: len(KEY)], at, len(raw)])
             at += len(raw)
             block.clear()
 
@@ -122,17 +122,17 @@ def write_index(captures: DataFrame, base: str, lines: int = 300) -> DataFrame:
             raw = json.dumps(directory).encode()
             out.write(raw)
             out.close()
-            yield pa.record_batch([pa.array([v], t) for v, t in ((name, pa.string()), (directory[0][0], pa.string()), (directory[0][1], pa.int64()), (at, pa.int64()), (len(raw), pa.int64()))], names=["shard", "first_surt", "first_page", "at", "size"])
+            yield pa.record_batch([pa.array([v], t) for v, t in ((name, pa.string()), (json.dumps(directory[0][: len(KEY)]), pa.string()), (at, pa.int64()), (len(raw), pa.int64()))], names=["shard", "first", "at", "size"])
 
-    return stash(dealt.mapInArrow(write, "shard string, first_surt string, first_page long, at long, size long"))
+    return stash(dealt.mapInArrow(write, "shard string, first string, at long, size long"))
 
 
 class Index:
     """Look-ups of captures. Of directories and blocks a few are kept."""
 
     def __init__(self, base: str, shards: list[tuple]):
-        self.store, self.shards = Store(base), sorted(shards, key=lambda s: (s[1], s[2]))
-        self.firsts = [(s[1], s[2]) for s in self.shards]
+        self.store, self.shards = Store(base), sorted(shards, key=lambda s: json.loads(s[1]))
+        self.firsts = [tuple(json.loads(s[1])) for s in self.shards]
         self.kept: OrderedDict = OrderedDict()
 
     def _get(self, key, make):
@@ -144,22 +144,29 @@ class Index:
         return self.kept[key]
 
     def directory(self, k: int) -> list:
-        shard, _, _, at, size = self.shards[k]
+        shard, _, at, size = self.shards[k]
         return self._get(k, lambda: [tuple(x) for x in json.loads(self.store.read(shard, at, size))])
 
     def block(self, k: int, b: int) -> list:
-        _, _, at, size = self.directory(k)[b]
+        at, size = self.directory(k)[b][-2:]
         return self._get((k, b), lambda: [tuple(json.loads(x)) for x in zlib.decompress(self.store.read(self.shards[k][0], at, size)).split(b"\n")])
 
-    def find(self, key: str, page: int) -> tuple[str, int, int] | None:
-        """(file, offset, size) of a capture: by shards, then by the directory's blocks, then within one block."""
-        k = bisect.bisect_right(self.firsts, (key, page)) - 1
-        if k < 0:
-            return None
-        b = bisect.bisect_right([x[:2] for x in self.directory(k)], (key, page)) - 1
-        rows = self.block(k, b)
-        i = bisect.bisect_left(rows, (key, page))
-        return tuple(rows[i][2:]) if i < len(rows) and rows[i][:2] == (key, page) else None
+    def find(self, surt_: str, page: int, digest: str) -> tuple[str, int, int] | None:
+        """(file, offset, size) of the response of a page with a payload: by shards, then by the directory's blocks, then
+        within one block. Equal keys may begin in the block or shard before, which ends where the first of them does."""
+        key = (surt_, page, "response", digest)
+        k = max(0, bisect.bisect_left(self.firsts, key) - 1)
+        while k < len(self.shards) and self.firsts[k] <= key:
+            firsts = [x[: len(KEY)] for x in self.directory(k)]
+            b = max(0, bisect.bisect_left(firsts, key) - 1)
+            while b < len(firsts) and firsts[b] <= key:
+                rows = self.block(k, b)
+                i = bisect.bisect_left(rows, key)
+                if i < len(rows) and rows[i][: len(KEY)] == key:
+                    return tuple(rows[i][len(KEY) :])
+                b += 1
+            k += 1
+        return None
 
     def record(self, place: tuple[str, int, int]) -> tuple[dict[str, str], bytes]:
         return parse(zlib.decompress(self.store.read(*place), 31))
@@ -179,28 +186,28 @@ def read_archives(captures: DataFrame, index: DataFrame, base: str) -> DataFrame
         number = {s[0]: k for k, s in enumerate(index_.shards)}
         seen: OrderedDict = OrderedDict()
 
-        def payload_of(key: str, page: int) -> tuple[int, str]:
-            if (key, page) not in seen:
+        def payload_of(*key) -> tuple[int, str]:
+            if key not in seen:
                 if len(seen) >= 1024:
                     seen.popitem(last=False)
-                place = index_.find(key, page)
+                place = index_.find(*key)
                 if place is None:
-                    raise ValueError(f"the index lacks {key} {page}")
+                    raise ValueError(f"the index lacks {key}")
                 payload = index_.record(place)[1]
-                seen[key, page] = (len(payload), hashlib.sha256(payload).hexdigest())
-            seen.move_to_end((key, page))
-            return seen[key, page]
+                seen[key] = (len(payload), hashlib.sha256(payload).hexdigest())
+            seen.move_to_end(key)
+            return seen[key]
 
         for batch in batches:
             for shard in batch.column(0).to_pylist():
                 for b in range(len(index_.directory(number[shard]))):
                     rows = []
-                    for place in sorted(x[2:] for x in index_.block(number[shard], b)):
+                    for place in sorted(x[len(KEY) :] for x in index_.block(number[shard], b)):
                         fields, payload = index_.record(place)
                         page, to = page_of(fields["WARC-Record-ID"]), None
                         if fields["WARC-Type"] == "revisit":
                             to = page_of(fields["WARC-Refers-To"])
-                            size, digest = payload_of(surt(json.loads(fields["WARC-Refers-To-Target-URI"])), to)
+                            size, digest = payload_of(surt(json.loads(fields["WARC-Refers-To-Target-URI"])), to, fields["WARC-Payload-Digest"].removeprefix("sha256:"))
                         else:
                             size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                         if f"sha256:{digest}" != fields["WARC-Payload-Digest"]:
@@ -213,6 +220,6 @@ def read_archives(captures: DataFrame, index: DataFrame, base: str) -> DataFrame
 
 def round_trip(pages: DataFrame, base: str | None = None) -> DataFrame:
     """Write archives and index, then read every page back."""
-    base = base or scratch_dir(pages.sparkSession)
+    base = base or store_dir(pages.sparkSession)
     captures = write_archives(pages, base)
     return read_archives(captures, write_index(captures, base), base)
