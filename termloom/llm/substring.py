@@ -5,7 +5,7 @@ Counting every window's hash in a shuffle costs several times the text. So three
 1. Each window has a smallest `gram`-word hash, the same wherever its words stand. Occurrences of such smallest grams
    (about a tenth of the windows) are counted in hash ranges; a gram that occurs once rules out all its windows.
 2. Grams that occur again set bits in a map of at most `max_bits` bits, whatever the corpus' size (beyond that it only
-   lets more windows through). Windows whose gram is set are grouped by 128-bit hash: first within a task, so that a
+   lets more windows through). Windows whose gram is set are grouped by 96-bit hash: first within a task, so that a
    passage in a third of all documents leaves each task once, then across tasks, in buckets by gram or, for grams that
    many tasks report, by window. There are as many buckets as the corpus has `bucket_bytes` of text.
 3. Repeated windows come back as word intervals by document and cut the text.
@@ -13,7 +13,7 @@ Counting every window's hash in a shuffle costs several times the text. So three
 Cases: null text has no words; texts shorter than a window keep all; a long text is read in parts that overlap by a
 window; rows equal in doc_id and text get the same result, and count as two places; null doc_ids are kept; an empty
 table gives no rows; further columns are ignored. Windows of any length may be asked for. They are compared by two
-Rabin-Karp hashes of 64 bits with different bases: of n windows about n*n/2^129 pairs may collide.
+Rabin-Karp hashes with different bases, 64 bits of one and 32 of the other: of n windows about n*n/2^97 pairs may collide.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from termloom.llm.shared import parallelism, pieces, sliced, stash, text_column
 
 BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: A gram is dealt by window where this share of the parts that tasks send, and at least so many, hold it.
-HOT_SHARE, HOT_LEAST, HOT_BITS = 16, 8, 20
+HOT_SHARE, HOT_LEAST, HOT_BITS = 2, 8, 20
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -112,14 +112,14 @@ class Windows:
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * Powers.of(len(words) + 1, which)[0][: len(words)])])
 
     def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both hashes of the windows that begin at these words."""
+        """Both hashes (of the second the upper half) of the windows that begin at these words."""
         other = mix(self.words ^ np.uint64(BASES[1]))
         pair = ((self.prefix, 0), (self._prefix(other, 1), 1))
         one, two = (mix((p[at + self.window] - p[at]) * Powers.of(len(p), which)[1][at]) for p, which in pair)
-        return one, two
+        return one, (two >> np.uint64(32)).astype(np.uint32)
 
 
-def portions(batches: Iterator[pa.RecordBatch], window: int, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[list[bytes]]]]:
+def portions(batches: Iterator[pa.RecordBatch], window: int, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[list[bytes]]]]:
     """A batch, rows of it, the number of the first word, and words: parts of texts, together of about `limit` bytes. Parts
     of a long text overlap by a window less a word, so each window is whole in just one."""
     for batch in sliced(batches, limit, 4000):
@@ -161,7 +161,7 @@ def repeated_grams(docs: DataFrame, window: int, gram: int, buckets: int) -> Dat
         for *_, parts in portions(batches, window):
             held.append(Windows(parts, cache, window, gram).grams)
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -226,7 +226,7 @@ def spans_of(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarra
     return doc[first], start[first], start[last] + window
 
 
-PARTS = ["bucket", "hashes", "ones", "doc", "start", "k1", "k2", "sk1", "sk2", "spans"]
+PARTS = ["bucket", "hashes", "others", "ones", "other_ones", "doc", "start", "k1", "k2", "sk1", "sk2", "spans"]
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 16, max_bits: int = 1 << 29, bucket_bytes: int = 16 << 20) -> DataFrame:
@@ -249,7 +249,6 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 16, max_bits:
             one, two, bucket, doc, start = (np.concatenate(x) for x in zip(*held))
             key1, key2 = np.concatenate(k1), np.concatenate(k2)
             known, ones = repeats(one, two)
-            pair = np.stack([one, two], 1)
             alone = np.flatnonzero(~known)
             alone = alone[np.lexsort((start[alone], doc[alone], bucket[alone]))]
             edges = np.searchsorted(bucket[alone], np.arange(n + 1))
@@ -259,12 +258,13 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 16, max_bits:
             here = here[np.lexsort((start[here], doc[here]))]
             d, s, e = spans_of(doc[here], start[here], window)
             spans = np.unique(np.array([key1[d], key2[d], s, e], np.int64).T.reshape(-1, 4), axis=0)  # equal rows say the same
-            rows = []
+            rows, size = [], -(-len(spans) // n)
             for b in range(n):
-                at, of, mine = alone[edges[b] : edges[b + 1]], ones[one_edges[b] : one_edges[b + 1]], spans[(b - turn) % n :: n]
+                k = (b - turn) % n * size
+                at, of, mine = alone[edges[b] : edges[b + 1]], ones[one_edges[b] : one_edges[b + 1]], spans[k : k + size]
                 if len(at) or len(of) or len(mine):
                     names, local = np.unique(doc[at], return_inverse=True)
-                    rows.append((b, pair[at].tobytes(), pair[of].tobytes(), np.diff(local, prepend=0).astype("<i4").tobytes(), np.diff(start[at], prepend=0).astype("<i4").tobytes(), key1[names].tobytes(), key2[names].tobytes(), mine[:, 0].tobytes(), mine[:, 1].astype("<i4").tobytes(), mine[:, 2:].astype("<i4").tobytes()))
+                    rows.append((b, one[at].tobytes(), two[at].tobytes(), one[of].tobytes(), two[of].tobytes(), np.diff(local, prepend=0).astype("<i4").tobytes(), np.diff(start[at], prepend=0).astype("<i4").tobytes(), key1[names].tobytes(), key2[names].tobytes(), mine[:, 0].tobytes(), mine[:, 1].astype("<i4").tobytes(), mine[:, 2:].astype("<i4").tobytes()))
             return pa.record_batch([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], names=PARTS)
 
         for batch, rows, starts, parts in portions(batches, window):
@@ -281,7 +281,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 16, max_bits:
             k2.append(batch.column(1).to_numpy()[rows])
             docs_held += len(parts)
             total += len(take)
-            if total > 1_000_000:
+            if total > 600_000:
                 yield flush()
                 held, k1, k2, docs_held, total, turn = [], [], [], 0, 0, turn + 1
         if total:
@@ -291,18 +291,17 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 16, max_bits:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
         if not rows:
             return
-        hashes = [np.frombuffer(r[0], "<u8").reshape(-1, 2) for r in rows]
-        every = np.concatenate(hashes + [np.frombuffer(r[1], "<u8").reshape(-1, 2) for r in rows])
-        twice, _ = repeats(every[:, 0], every[:, 1])
+        every = (np.concatenate([np.frombuffer(r[k], kind) for k in at for r in rows]) for at, kind in (((0, 2), "<u8"), ((1, 3), "<u4")))
+        twice, _ = repeats(*every)
         at = 0
-        for h, r in zip(hashes, rows):
-            again = twice[at : at + len(h)]
-            at += len(h)
-            local, start = (np.cumsum(np.frombuffer(x, "<i4")) for x in r[2:4])
-            key1, key2 = np.frombuffer(r[4], "<i8"), np.frombuffer(r[5], "<i4")
+        for r in rows:
+            again = twice[at : at + len(r[0]) // 8]
+            at += len(again)
+            local, start = (np.cumsum(np.frombuffer(x, "<i4")) for x in r[4:6])
+            key1, key2 = np.frombuffer(r[6], "<i8"), np.frombuffer(r[7], "<i4")
             d, s, e = spans_of(local[again], start[again], window)
             yield _by_doc(key1[d], key2[d], np.stack([s, e], 1).astype("<i4"))
-            yield _by_doc(np.frombuffer(r[6], "<i8"), np.frombuffer(r[7], "<i4"), np.frombuffer(r[8], "<i4").reshape(-1, 2))
+            yield _by_doc(np.frombuffer(r[8], "<i8"), np.frombuffer(r[9], "<i4"), np.frombuffer(r[10], "<i4").reshape(-1, 2))
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "text")
     sent = keyed.mapInArrow(candidates, "bucket int, " + ", ".join(f"{x} binary" for x in PARTS[1:]))

@@ -1,6 +1,7 @@
 """Each operator against brute force or SQL, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -8,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -19,6 +22,22 @@ DOC = "doc_id long, text string, score double, row long, spans string, k1 long,
 LONG = " ".join(f"w{i % 997}" for i in range(60_000))
 
 
+@pytest.fixture
+def whole_partitions(spark):
+    """Small partitions stay apart."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def joined(spark, df):
+    """df as a join and a shuffle give it: planned again for each column set, its rows come in other orders and partitions."""
+    other = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("more").alias("_row"), F.lit(1).alias("_doc"))
+    return df.repartition(32, "doc_id").hint("merge").join(other.repartition(32).hint("merge"), "doc_id")
+
+
 def docs(spark, texts, ids=None):
     """Documents with columns whose names operators use inside."""
     rows = [(ids[i] if ids else i, t, 0.5, i, "x", 1, 2, 3, 4) for i, t in enumerate(texts)]
@@ -60,6 +79,29 @@ def test_chat_cases(spark):
     assert marked.count("<|im_start|>") == marked.count("<|im_end|>") == 2
 
 
+def test_templates_read_back(spark):
+    """Any template that is accepted reads back; one whose marks can't be told from texts is refused."""
+    talk = [(1, 0, "us[er\n", "[INST] a [/INST]\n[INST] x\ny [/INST]\n"), (1, 1, "assistant", " [" + "\\" * 3 + "[I[I"), (1, 2, "user", ""), (1, 3, "assistant", " "), (2, 0, "user", " [/INST]")]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    want = {c: hashlib.sha256("".join(f"{r}\n{t}\n" for i, _, r, t in talk if i == c).encode()).hexdigest() for c in (1, 2)}
+    for template in (chat.Template(head="[INST] ", tail=" [/INST]\n"), chat.Template(head="<s>\n", tail="\n</s>\n"), chat.Template(head="ab", tail="ba"), chat.CHATML):
+        got = {r.conv_id: r for r in chat.read_back(chat.format_chat(df, template), template).collect()}
+        assert {c: r.turns_sha256 for c, r in got.items()} == want and [got[c].n_turns for c in (1, 2)] == [4, 1]
+        assert got[1].loss_sha256 == hashlib.sha256((talk[1][3] + talk[3][3]).encode()).hexdigest()
+    for bad in ("x", "", "aab", "\\a"):
+        with pytest.raises(ValueError):
+            chat.Template(tail=bad)
+
+
+@given(st.text("ab<|[ \\\n", max_size=12), st.sampled_from([("<|x", "<|y"), ("ab", "ba"), ("[ ", " [\n"), ("a<b", "|a|")]))
+@settings(max_examples=300, deadline=None)
+def test_escapes_of_any_marks(text, marks):
+    template = chat.Template(head=marks[0], tail=marks[1])
+    safe = template.escape(text)
+    assert template.unescape(safe) == text and all((safe + m).find(m) == len(safe) for m in marks)
+    assert template.unescape_role(template.escape_role(text)) == text and "\n" not in template.escape_role(text)
+
+
 # -- 2: embeddings ----------------------------------------------------------------------------------------------------------
 
 
@@ -95,6 +137,32 @@ def test_repeated_vec_ids(spark):
     assert rows(ego.similarity_join(df), "vec_id", "n_links", "component_id") == [(1, 1, 1), (1, 1, 1), (None, 0, None)]
 
 
+def test_any_vec_ids(spark):
+    big = 2**62
+    df = spark.createDataFrame([(big + 6, [1.0, 0.0]), (big + 5, [1.0, 0.01]), (-big, [0.0, 1.0]), (None, [0.0, 1.01]), (2**63 - 1, [1e200, 1e200]), (None, [3e-200, 3.1e-200])], "vec_id long, embedding array<double>")
+    got = rows(ego.similarity_join(df), "vec_id", "n_links", "component_id")
+    assert got == sorted([(big + 6, 1, big + 5), (big + 5, 1, big + 5), (-big, 1, -big), (None, 1, -big), (2**63 - 1, 1, 2**63 - 1), (None, 1, 2**63 - 1)], key=repr)
+
+
+def test_pairs_at_the_threshold(spark):
+    """Cosines of exactly 0.9 in double precision link, whatever the axes that the search turns to."""
+    exact = [(0.9, [1.0, 0.0], [9.0, math.sqrt(19.0)])]
+    pairs = []
+    for k in range(200):
+        a = np.random.default_rng(k).normal(size=6)
+        a /= np.sqrt(a @ a)
+        b = np.random.default_rng(k + 999).normal(size=6)
+        b -= (a @ b) * a
+        pairs.append((a, 0.9 * a + math.sqrt(1 - 0.81) * b / np.sqrt(b @ b)))
+    vectors = [v.tolist() for p in pairs for v in p] + [exact[0][1] + [0.0] * 4, exact[0][2] + [0.0] * 4]
+    counts, _ = brute_links(vectors)
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in ego.similarity_join(df, block=64).collect()}
+    apart = [i for i in got if got[i] != counts[i]]
+    near = [abs(np.dot(vectors[i], vectors[i ^ 1]) / math.sqrt(np.dot(vectors[i], vectors[i]) * np.dot(vectors[i ^ 1], vectors[i ^ 1])) - 0.9) for i in apart]
+    assert all(x < 1e-15 for x in near)  # the last digit may differ with the order of summing, nothing else
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 7), (1, 2), (2, 3), (5, 4), (3, 1), *[(100, 100 + i) for i in range(1, 60)], *[(200 + i, 201 + i) for i in range(40)]]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -134,6 +202,40 @@ def test_archives(spark):
     assert warc.round_trip(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("pages", [
+    [(2, "http://b/", "A" * 300), (2, "http://b/", "B" * 300), (7, "http://c/", "B" * 300), (8, "http://c/", "A" * 300)],
+    [(1, "http://a/", "X" * 200), (2, "http://b/", "X" * 200), (2, "http://b/", "Y" * 200), (3, "http://c/", "Y" * 200), (3, "http://c/", "X" * 200)],
+    [(4, "http://a/", "Z" * 150)] * 700 + [(5, "http://a/", "Z" * 150), (None, "http://a/", "Z" * 150)],
+])
+def test_repeated_page_ids(spark, pages):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = []
+    for i, _, h in pages:
+        first = min(j for j, _, k in pages if k == h and j is not None)
+        again = i is not None and first < i
+        want.append((i, len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert rows(warc.round_trip(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
+
+
+def test_folders_for_archives(spark):
+    from termloom.llm import shared
+    from termloom.plans import materialize
+
+    assert shared.store_dir(spark).startswith("file://") and shared.file_system("file:///x")[1] == "/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.file_system("odd://x/y")
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        materialize.shared_folder(Far)
+
+
 # -- 4: substrings ---------------------------------------------------------------------------------------------------------------
 
 
@@ -155,10 +257,40 @@ def test_windows_against_brute_force(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.deduplicate(df, 35).collect()}
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, 35)
     assert substring.deduplicate(df.limit(0)).collect() == []
+    for n in (1, 2, 8, 12, 17):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.deduplicate(df, n).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_removed(texts, n)
     twice = docs(spark, [shared[2], shared[2], shared[3]], [1, 1, None])
     assert rows(substring.deduplicate(twice), "doc_id", "n_removed") == [(1, 60), (1, 60), (None, 0)]
 
 
+def test_parts_of_long_texts():
+    """Each window of a long text is whole in one part, at its place."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"v{i % 31}" for i in range(700)), "short one", "", "  x\ty " * 90]
+    batch = pa.record_batch([pa.array(range(4)), pa.array(texts)], names=["i", "text"])
+    for window in (1, 5, 35):
+        seen = []
+        for part, at, starts, parts in substring.portions(iter([batch]), window, limit=200):
+            for k, s, words in zip(at.tolist(), starts.tolist(), parts):
+                seen += [(part.column(0)[k].as_py(), s + i, tuple(words[i : i + window])) for i in range(len(words) - window + 1)]
+        split = [t.encode().split() for t in texts]
+        assert sorted(seen) == sorted((k, i, tuple(w[i : i + window])) for k, w in enumerate(split) for i in range(len(w) - window + 1))
+
+
+def test_hot_windows_against_brute_force(spark, whole_partitions, monkeypatch):
+    """A passage in most texts, a line that most hold between words of their own, many tasks, grams dealt by window."""
+    monkeypatch.setattr(substring, "HOT_LEAST", 2)
+    rng = np.random.default_rng(3)
+    passage, line = " ".join(f"p{i}" for i in range(50)), " ".join(f"l{i}" for i in range(30))
+    own = lambda: " ".join(f"o{rng.integers(1 << 40)}" for _ in range(25))
+    texts = [" ".join([own(), line if i % 3 else "", own(), passage if i % 2 else "", own()]) for i in range(90)]
+    df = docs(spark, texts).repartition(12, "doc_id")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.deduplicate(df, 35).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts, 35)
+
+
 # -- 5 and 8: classifiers ----------------------------------------------------------------------------------------------------------
 
 
