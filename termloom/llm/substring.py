@@ -230,7 +230,7 @@ PARTS = ["bucket", "hashes", "others", "ones", "other_ones", "doc", "start", "k1
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 16, max_bits: int = 1 << 29, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """k1 long, k2 int (of doc_id and text), spans array<binary>: pairs of int32, word intervals of repeated windows."""
+    """k1 long, k2 int (of doc_id and text), spans binary: pairs of int32, word intervals of repeated windows. A row for each document that has any."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(parallelism(spark), -(-size // bucket_bytes))
@@ -293,20 +293,32 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = 16, max_bits:
             return
         every = (np.concatenate([np.frombuffer(r[k], kind) for k in at for r in rows]) for at, kind in (((0, 2), "<u8"), ((1, 3), "<u4")))
         twice, _ = repeats(*every)
-        at = 0
+        at, out = 0, []
         for r in rows:
             again = twice[at : at + len(r[0]) // 8]
             at += len(again)
             local, start = (np.cumsum(np.frombuffer(x, "<i4")) for x in r[4:6])
-            key1, key2 = np.frombuffer(r[6], "<i8"), np.frombuffer(r[7], "<i4")
             d, s, e = spans_of(local[again], start[again], window)
-            yield _by_doc(key1[d], key2[d], np.stack([s, e], 1).astype("<i4"))
-            yield _by_doc(np.frombuffer(r[8], "<i8"), np.frombuffer(r[9], "<i4"), np.frombuffer(r[10], "<i4").reshape(-1, 2))
+            out.append(np.array([np.frombuffer(r[6], "<i8")[d], np.frombuffer(r[7], "<i4")[d], s, e], np.int64).T)
+            out.append(np.column_stack([np.frombuffer(r[8], "<i8"), np.frombuffer(r[9], "<i4"), np.frombuffer(r[10], "<i4").reshape(-1, 2)]).astype(np.int64))
+        found = np.unique(np.concatenate(out), axis=0)
+        to = (mix(found[:, 0].astype(np.uint64)) % np.uint64(n)).astype(np.int32)
+        found = found[np.argsort(to, kind="stable")]
+        edges = np.searchsorted(np.sort(to), np.arange(n + 1))
+        some = np.flatnonzero(np.diff(edges))
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array([found[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())], names=["bucket", "found"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, from what all buckets found in it."""
+        parts = [np.frombuffer(x, "<i8").reshape(-1, 4) for batch in batches for x in batch.column(1).to_pylist()]
+        if parts:
+            found = np.unique(np.concatenate(parts), axis=0)
+            yield _by_doc(found[:, 0], found[:, 1].astype(np.int32), found[:, 2:].astype("<i4"))
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "text")
     sent = keyed.mapInArrow(candidates, "bucket int, " + ", ".join(f"{x} binary" for x in PARTS[1:]))
-    found = sent.repartitionById(n, "bucket").mapInArrow(decide, "k1 long, k2 int, spans binary")
-    return found.groupBy("k1", "k2").agg(F.collect_set("spans").alias("spans"))
+    found = sent.repartitionById(n, "bucket").mapInArrow(decide, "bucket int, found binary")
+    return found.repartitionById(n, "bucket").mapInArrow(gather, "k1 long, k2 int, spans binary")
 
 
 def _by_doc(k1: np.ndarray, k2: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
@@ -329,7 +341,7 @@ def deduplicate(docs: DataFrame, window: int = 35) -> DataFrame:
                 n_words.append(len(words))
                 if found:
                     gone = np.zeros(len(words) + 1, np.int32)
-                    for s, e in np.frombuffer(b"".join(found), "<i4").reshape(-1, 2):
+                    for s, e in np.frombuffer(found, "<i4").reshape(-1, 2):
                         gone[s] += 1
                         gone[e] -= 1
                     stay = np.cumsum(gone[:-1]) == 0
