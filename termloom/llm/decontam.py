@@ -197,36 +197,38 @@ def match_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, shard_w
     """docs with n_words long, n_hit long, spans binary (pairs of little-endian int32: word intervals [start, end)), items array<string>.
 
     Columns of docs with these names are replaced."""
-    found = _matched(docs.drop("n_words", "n_hit", "spans", "items"), items, window, shard_words)
-    return found.withColumnsRenamed({"_n_words": "n_words", "_n_hit": "n_hit", "_spans": "spans", "_items": "items"})
+    docs = docs.drop("n_words", "n_hit", "spans", "items")
+    found = _matched(docs, items, window, shard_words)
+    return found.select(*(F.col("_doc")[c].alias(c) for c in docs.columns), *(F.col(f"_{c}").alias(c) for c in ("n_words", "n_hit", "spans", "items")))
 
 
 def _matched(docs: DataFrame, items: DataFrame, window: int, shard_words: int = 1_000_000) -> DataFrame:
-    """docs with _n_words, _n_hit, _spans, _items."""
+    """_doc (a row of docs), _n_words, _n_hit, _spans, _items."""
     spark = docs.sparkSession
     shards = shards_of(items, window, shard_words)
     first, second = next(shards, []), next(shards, None)
-    one = spark.sparkContext.broadcast(SuffixAutomaton(first, window))
+    rows, one = docs.select(F.struct(*docs.columns).alias("_doc")), spark.sparkContext.broadcast(SuffixAutomaton(first, window))
+    text = F.col("_doc.text").alias("text")
     if second is None:
-        return _pass(docs, docs.columns, one)
+        return _pass(rows.select("_doc", text), "_doc", one)
     # a written table has one number for each row, whatever is read from it
-    rows = stash(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")))
-    found = _pass(rows.select("_row", F.col("_doc.text").alias("text")), ["_row"], one)
+    rows = stash(rows.withColumn("_row", F.monotonically_increasing_id()))
+    found = _pass(rows.select("_row", text), "_row", one)
     while second is not None:
-        found = _merge(found, _pass(rows.select("_row", F.col("_doc.text").alias("text")), ["_row"], spark.sparkContext.broadcast(SuffixAutomaton(second, window))))
+        found = _merge(found, _pass(rows.select("_row", text), "_row", spark.sparkContext.broadcast(SuffixAutomaton(second, window))))
         second = next(shards, None)
-    return rows.join(found, "_row").select(*(F.col("_doc")[c].alias(c) for c in docs.columns), *(c for c in found.columns if c != "_row"))
+    return rows.join(found, "_row").drop("_row")
 
 
 def hits(spans: Iterable[list[int]]) -> int:
     return sum(e - s for s, e in spans)
 
 
-def _pass(docs: DataFrame, kept: list[str], automaton) -> DataFrame:
-    """kept columns of docs with what one automaton finds in text."""
+def _pass(docs: DataFrame, kept: str, automaton) -> DataFrame:
+    """A column of docs with what one automaton finds in text."""
     names = ["_n_words", "_n_hit", "_spans", "_items"]
     kinds = [T.LongType(), T.LongType(), T.BinaryType(), T.ArrayType(T.StringType())]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, k) for n, k in zip(names, kinds)])
+    schema = T.StructType([docs.schema[kept]] + [T.StructField(n, k) for n, k in zip(names, kinds)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton.value
@@ -238,11 +240,9 @@ def _pass(docs: DataFrame, kept: list[str], automaton) -> DataFrame:
                 hit.append(hits(found))
                 spans.append(np.array(found, "<i4").tobytes())
                 items.append(sorted(from_))
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.record_batch([*cols, pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*kept, *names])
+            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[kept, *names])
 
-    used = docs.select(*kept, *([] if "text" in kept else ["text"]))
-    return used.mapInArrow(scan, schema)
+    return docs.select(kept, "text").mapInArrow(scan, schema)
 
 
 def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -282,17 +282,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = pa.Table.from_batches([batch])
-            spans = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in batch.column(batch.schema.get_field_index("_spans")).to_pylist()]
-            total = batch.column(batch.schema.get_field_index("_n_words")).to_pylist()
+            rows = pa.table(batch.column(0).flatten(), names=names)
+            spans = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in batch.column(3).to_pylist()]
             keep, texts = [], []
-            for k, (text, cuts, n) in enumerate(zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), spans, total)):
-                if len(cuts) and (cuts[:, 1] - cuts[:, 0]).sum() > max_coverage * n:
+            for k, (text, cuts, n, hit) in enumerate(zip(rows.column("text").to_pylist(), spans, batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if hit > max_coverage * n:
                     continue
                 keep.append(k)
                 texts.append(_without(text, cuts) if len(cuts) else text)
-            rows = rows.take(pa.array(keep, pa.int64())).select(names)
-            yield from rows.set_column(names.index("text"), rows.schema.field("text"), pa.chunked_array([pa.array(texts, rows.schema.field("text").type)])).combine_chunks().to_batches()
+            rows = rows.take(pa.array(keep, pa.int64()))
+            kind = rows.schema.field("text")
+            yield from rows.set_column(names.index("text"), kind, pa.chunked_array([pa.array(texts, kind.type)])).combine_chunks().to_batches()
 
     return matched.mapInArrow(cut, schema)
 
