@@ -15,7 +15,6 @@ known against any text; an empty table gives no rows; further columns pass throu
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.llm.features import LETTERS, MARKS, chosen_keys, features_of, fold, labelled
-from termloom.llm.shared import pieces, sliced, text_column
+from termloom.llm.shared import packed_sums, pieces, sliced, summed, text_column
 
 FOLDS, HELD = 4, 2
 ROWS, DIM, NONZERO, CHUNK = 8192, 64, 4, 512
@@ -94,21 +93,9 @@ def context_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
         for batch in sliced(batches):
             add_contexts(total, text_column(batch, "text"), reach, cache, places, signs)
         if total.any():
-            parts = total.astype("<i8").reshape(-1, CHUNK * DIM)
-            yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["chunk", "sums"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(zlib.decompress(packed), "<i8")
-                sums[chunk] = sums[chunk] + part if chunk in sums else part
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "sums"])
-
-    kind = "chunk int, sums binary"
-    out = np.zeros((ROWS // CHUNK, CHUNK * DIM))
-    for r in docs.select("text").mapInArrow(add, kind).repartition(ROWS // CHUNK, "chunk").mapInArrow(merge, kind).toLocalIterator():
-        out[r["chunk"]] += np.frombuffer(zlib.decompress(r["sums"]), "<i8")
+            yield pa.record_batch([pa.array(range(ROWS // CHUNK), pa.int32()), pa.array(map(packed_sums, total.reshape(-1, CHUNK * DIM)), pa.binary())], names=["chunk", "sums"])
+
+    out = summed(docs.select("text").mapInArrow(add, "chunk int, sums binary"), ROWS // CHUNK, CHUNK * DIM).astype(float)
     vectors = out.reshape(ROWS, DIM)
     return (vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -89,6 +90,27 @@ def smallest(rows: DataFrame, key: Column, ties: str | list[str], n: int, take:
         share = min(1.0, 8 * share)
 
 
+def summed(parts: DataFrame, chunks: int, size: int) -> np.ndarray:
+    """The sum of integer arrays that tasks send as rows (chunk int, sums: compressed int64), chunks x size: the driver gets one row for each chunk."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(zlib.decompress(packed), "<i8")
+                sums[chunk] = sums[chunk] + part if chunk in sums else part
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([packed_sums(x) for x in sums.values()], pa.binary())], names=["chunk", "sums"])
+
+    out = np.zeros((chunks, size), np.int64)
+    for r in parts.repartitionById(chunks, "chunk").mapInArrow(merge, "chunk int, sums binary").toLocalIterator():
+        out[r["chunk"]] += np.frombuffer(zlib.decompress(r["sums"]), "<i8")
+    return out
+
+
+def packed_sums(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype("<i8").tobytes(), 1)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
