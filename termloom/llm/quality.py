@@ -33,7 +33,7 @@ ROWS, DIM, NONZERO, CHUNK = 8192, 64, 4, 512
 
 class Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh32_intdigest(word) % ROWS
         return value
@@ -67,7 +67,7 @@ def runs(texts: list[bytes], table: bytes, cache: Buckets, limit: int) -> Iterat
         yield packed()
 
 
-def add_contexts(total: np.ndarray, texts: list[bytes], reach: int, cache: Buckets, places: np.ndarray, signs: np.ndarray, limit: int = 4 << 20) -> None:
+def add_contexts(total: np.ndarray, texts: list[bytes], reach: int, cache: Buckets, places: np.ndarray, signs: np.ndarray, limit: int = 1 << 20) -> None:
     """Add to total (ROWS * DIM) the index vectors of each token's neighbours up to `reach` away."""
     for table in (LETTERS, MARKS):
         tail = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -100,7 +100,7 @@ def context_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
     return (vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray, cache: Buckets, limit: int = 1 << 19) -> np.ndarray:
+def pooled(texts: list[bytes], vectors: np.ndarray, cache: Buckets, limit: int = 1 << 18) -> np.ndarray:
     """A row of features for each text."""
     n = len(texts)
     sums, counts, again = np.zeros((n, 3 * DIM)), np.zeros((2, n)), np.zeros(n)
