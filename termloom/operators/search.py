@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from termloom.functions.scores import bm25
 from termloom.operators.postings import lexicon
+from termloom.plans.materialize import written
 from termloom.plans.queryparse import Query
 
 DIGITS = 6
+#: Queries of a batch above this size are not broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def scored(posts: DataFrame, lengths: DataFrame, terms: tuple[str, ...], n_docs: int | None = None, average: float | None = None) -> DataFrame:
@@ -84,12 +87,24 @@ def run(posts: DataFrame, lengths: DataFrame, query: Query, k: int = 10, dnf: bo
 
 
 def rank_batch(posts: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 10, disjunctive: bool = False) -> DataFrame:
-    """query_id, doc_id, score, rank of many conjunctions (or disjunctions, as of disjunctive()) at once; queries (query_id, term) are joined, not looped over."""
-    wanted = queries.distinct()
+    """query_id, doc_id, score, rank of many conjunctions (or disjunctions, as of disjunctive()) at once; queries (query_id, term) are joined, not looped over.
+
+    Postings without a wanted term go before they are shuffled; the rest is dealt by doc_id once. Up to BROADCAST_BYTES the
+    queries come to every task, so a document's scores are summed where it lies, and only k hits of a query leave a task.
+    More queries are joined by term. Postings without a term or doc_id count nowhere."""
+    wanted = written(queries.select("query_id", "term").distinct())
+    size = wanted.agg(F.count("*") * 64 + F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()[0]
+    sent = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
     need = wanted.groupBy("query_id").agg(F.count("*").alias("need"))
     corpus = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("doc_len").alias("a"))
-    found = posts.join(wanted.select("term").distinct(), "term")
-    rows = found.join(lexicon(found), "term").join(lengths, "doc_id").join(F.broadcast(corpus)).withColumn("score", bm25(F.col("n"), F.col("df"), F.col("freq"), F.col("doc_len"), F.col("a")))
-    hits = rows.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"), F.count("*").alias("have")).join(need, "query_id").where("score <> 0" if disjunctive else "have = need")
+    # Both uses of the postings need the same rows and columns, or they would not share one exchange: hence the filter, and
+    # df by freq, which is never 0.
+    found = posts.where("doc_id is not null and term is not null").join(sent(wanted.select("term").distinct()), "term", "left_semi")
+    known = found.groupBy("term").agg(F.count_if(F.col("freq") > 0).alias("df"))
+    weights = wanted.join(known, "term").join(need, "query_id")
+    rows = found.join(lengths.hint("merge"), "doc_id").join(sent(weights), "term").join(F.broadcast(corpus))
+    rows = rows.withColumn("score", bm25(F.col("n"), F.col("df"), F.col("freq"), F.col("doc_len"), F.col("a")))
+    hits = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), DIGITS).alias("score"), F.count("*").alias("have"), F.max("need").alias("need"))
+    hits = hits.where("score <> 0" if disjunctive else "have = need")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return hits.select("query_id", "doc_id", "score", best.alias("rank")).where(F.col("rank") <= k)

@@ -64,12 +64,18 @@ def test_details_and_alternatives(toy, lengths):
     assert search.alternatives(toy, lengths, ()).collect() == []
 
 
-def test_batch_of_whole_texts(toy, lengths, spark):
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_batch_of_whole_texts(toy, lengths, spark, monkeypatch, limit):
+    monkeypatch.setattr(search, "BROADCAST_BYTES", limit)
     wanted = spark.createDataFrame([(1, "a"), (1, "c"), (1, "unknown"), (2, "unknown"), (3, "b")], "query_id long, term string")
     got = search.rank_batch(toy, lengths, wanted, disjunctive=True).orderBy("query_id", "rank").collect()
     for q, terms in ((1, ("a", "c")), (2, ("unknown",)), (3, ("b",))):
         assert [(r.doc_id, r.score) for r in got if r.query_id == q] == [(r.doc_id, r.score) for r in search.disjunctive(toy, lengths, terms).collect()]
     assert search.rank_batch(toy, lengths, wanted.where("query_id = 1")).collect() == []
+    both = search.rank_batch(toy, lengths, wanted.where("term in ('a', 'c')")).collect()
+    assert [(r.doc_id, r.score) for r in both] == [(r.doc_id, r.score) for r in search.conjunctive(toy, lengths, ("a", "c")).collect()]
+    odd = toy.select("term", "doc_id", "freq").unionByName(spark.createDataFrame([(None, 1, 1), ("a", None, 1)], "term string, doc_id long, freq long"))
+    assert search.rank_batch(odd, lengths, wanted, disjunctive=True).orderBy("query_id", "rank").collect() == got
 
 
 @pytest.mark.parametrize("n", [1, 63, 64, 65, 128])
