@@ -42,21 +42,16 @@ def bits_hex(bits: Column) -> Column:
 
 
 def varbyte_decode(code: Column, stop_bit: bool = True) -> Column:
-    """The numbers of a hex string of codes."""
-    size = (F.length(code) / 2).cast("int")
-    bytes_ = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    state = F.struct(F.expr("cast(array() as array<bigint>)").alias("out"), F.lit(0).cast("long").alias("x"), F.lit(0).alias("shift"))
+    """The numbers of a hex string of codes, which one pattern cuts apart at their last bytes."""
+    high, low = "[89A-Fa-f][0-9A-Fa-f]", "[0-7][0-9A-Fa-f]"
+    each = F.regexp_extract_all(code, F.lit(rf"\G(?:{low})*{high}" if stop_bit else rf"\G(?:{high})*{low}"), F.lit(0))
 
-    def step(s: Column, b: Column) -> Column:
-        value = s["x"] + F.call_function("shiftleft", b.bitwiseAND(127), s["shift"])
-        ends = (b >= 128) if stop_bit else (b < 128)
-        return F.struct(
-            F.when(ends, F.concat(s["out"], F.array(value))).otherwise(s["out"]).alias("out"),
-            F.when(ends, F.lit(0).cast("long")).otherwise(value).alias("x"),
-            F.when(ends, F.lit(0)).otherwise(s["shift"] + 7).alias("shift"),
-        )
+    def value(x: Column) -> Column:
+        seven = lambda i: F.conv(F.substring(x, i * 2 + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(127)
+        places = F.sequence(F.lit(0), (F.length(x) / 2).cast("int") - 1)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s + F.call_function("shiftleft", seven(i), i * 7))
 
-    return F.aggregate(bytes_, state, step, lambda s: s["out"])
+    return F.transform(each, value)
 
 
 def unary(n: Column) -> Column:
@@ -73,21 +68,9 @@ def gamma(n: Column) -> Column:
 
 
 def gamma_decode(bits: Column) -> Column:
-    """The numbers of a string of gamma codes."""
-    state = F.struct(F.expr("cast(array() as array<bigint>)").alias("out"), F.lit(0).alias("zeros"), F.lit(0).cast("long").alias("x"), F.lit(0).alias("left"))
-
-    def step(s: Column, bit: Column) -> Column:
-        one = bit == "1"
-        value = s["x"] * 2 + one.cast("long")
-        starts, ends = (s["left"] == 0) & one, (s["left"] == 1) | (s["left"] == 0) & one & (s["zeros"] == 0)
-        return F.struct(
-            F.when(ends, F.concat(s["out"], F.array(value))).otherwise(s["out"]).alias("out"),
-            F.when(s["left"] > 0, 0).when(one, 0).otherwise(s["zeros"] + 1).alias("zeros"),
-            F.when(ends, F.lit(0).cast("long")).when((s["left"] > 0) | one, value).otherwise(F.lit(0).cast("long")).alias("x"),
-            F.when(s["left"] > 0, s["left"] - 1).when(starts, s["zeros"]).otherwise(0).alias("left"),
-        )
-
-    return F.aggregate(F.filter(F.split(bits, ""), lambda b: b != ""), state, step, lambda s: s["out"])
+    """The numbers of a string of gamma codes: n zeros, a one and n further bits each; zeros that fill up a byte are none."""
+    code = "|".join(f"0{{{n}}}1[01]{{{n}}}" for n in range(63))
+    return F.transform(F.regexp_extract_all(bits, F.lit(rf"\G(?:{code})"), F.lit(0)), lambda x: F.conv(x, 2, 10).cast("long"))
 
 
 def aligned(bits: Column) -> Column:

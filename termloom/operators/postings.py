@@ -139,7 +139,7 @@ def read_gamma_blocks(payloads: DataFrame) -> DataFrame:
     """term, block_no, df (null but for the first block), last_doc_id, doc_ids, freqs from gamma_blocks' payloads."""
     code = F.hex("payload")
     lead = F.when(F.col("block_no") == 0, 3).otherwise(2) + F.col("n")
-    ends = F.filter(F.transform(F.sequence(F.lit(1), F.octet_length("payload")), lambda i: F.when(F.conv(F.substring(code, i * 2 - 1, F.lit(2)), 16, 10).cast("int") >= 128, i)), lambda i: i.isNotNull())
+    ends = F.filter(F.transform(F.sequence(F.lit(1), F.octet_length("payload")), lambda i: F.when(F.substring(code, i * 2 - 1, F.lit(1)) >= "8", i)), lambda i: i.isNotNull())
     cut = F.element_at(ends, lead.cast("int")) * 2  # the bytes before the frequencies end with as many stop bits
     rows = payloads.select("term", "block_no", "n", codes.varbyte_decode(F.substring(code, F.lit(1), cut)).alias("x"), codes.gamma_decode(codes.hex_bits(F.substring(code, cut + 1, F.length(code)))).alias("freqs"))
     skip = F.when(F.col("block_no") == 0, 1).otherwise(0)

@@ -93,3 +93,14 @@ def test_url_rules(spark):
     assert not got["mailto:z"][0] and not got[""][0] and not got["rel.html"][0] and not got["/pic.JPG"][0]
     assert got["httpdocs/z"] == (True, "http://u@h.com:80/d/httpdocs/z")
     assert df.select(urls.netloc(F.col("p")).alias("n"), urls.scheme(F.col("p")).alias("s")).first() == ("u@h.com:80", "http")
+
+
+def test_decoders_stop_at_broken_codes(spark):
+    big = 2**62 + 5
+    row = spark.range(1).select(
+        codes.varbyte_decode(F.concat(codes.varbyte_hex(F.lit(big)), codes.varbyte_hex(F.lit(0)), F.lit("01"))).alias("v"),
+        codes.varbyte_decode(F.lit("")).alias("v0"),
+        codes.gamma_decode(F.concat(codes.gamma(F.lit(big)), codes.gamma(F.lit(1)), F.lit("0010"))).alias("g"),
+        codes.gamma_decode(F.lit("0000000")).alias("g0"),
+    ).first()
+    assert (row.v, row.v0, row.g, row.g0) == ([big, 0], [], [big, 1], [])
