@@ -120,7 +120,8 @@ def gamma_blocks(posts: DataFrame) -> DataFrame:
     bits of both lists."""
     lists = block_lists(posts).join(lexicon(posts), "term")
     gaps_ = F.transform("doc_ids", lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.element_at("doc_ids", i)))
-    coded = lists.select("term", "block_no", "df", F.size("doc_ids").cast("long").alias("n"), F.element_at("doc_ids", -1).alias("last"), F.array_join(F.transform(gaps_, lambda x: codes.varbyte_hex(x)), "").alias("d"), codes.bits_hex(F.array_join(F.transform("freqs", lambda x: codes.gamma(x)), "")).alias("f"))
+    coded = lists.select("term", "block_no", "df", F.size("doc_ids").cast("long").alias("n"), F.element_at("doc_ids", -1).alias("last"), F.array_join(F.transform(gaps_, lambda x: codes.varbyte_hex(x)), "").alias("d"), F.array_join(F.transform("freqs", lambda x: codes.gamma(x)), "").alias("_bits"))
+    coded = coded.withColumn("f", codes.bits_hex(F.col("_bits")))  # a column of its own: each byte reads it
     bits = codes.varbyte_hex((F.length(F.concat("d", "f")) * 4).cast("long"))
     head = F.when(F.col("block_no") == 0, codes.varbyte_hex(F.col("df"))).otherwise("")
     return coded.select("term", "block_no", "n", F.unhex(F.concat(head, codes.varbyte_hex(F.col("last")), bits, "d", "f")).alias("payload"))
@@ -137,11 +138,15 @@ def read_varbyte_blocks(payloads: DataFrame) -> DataFrame:
 
 def read_gamma_blocks(payloads: DataFrame) -> DataFrame:
     """term, block_no, df (null but for the first block), last_doc_id, doc_ids, freqs from gamma_blocks' payloads."""
-    code = F.hex("payload")
+    # What each byte reads is a column of its own; within an expression it would be made anew for each byte.
+    coded = payloads.select("term", "block_no", "n", F.hex("payload").alias("code"))
+    code = F.col("code")
     lead = F.when(F.col("block_no") == 0, 3).otherwise(2) + F.col("n")
-    ends = F.filter(F.transform(F.sequence(F.lit(1), F.octet_length("payload")), lambda i: F.when(F.substring(code, i * 2 - 1, F.lit(1)) >= "8", i)), lambda i: i.isNotNull())
+    ends = F.filter(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), lambda i: F.substring(code, i * 2 - 1, F.lit(1)) >= "8")
     cut = F.element_at(ends, lead.cast("int")) * 2  # the bytes before the frequencies end with as many stop bits
-    rows = payloads.select("term", "block_no", "n", codes.varbyte_decode(F.substring(code, F.lit(1), cut)).alias("x"), codes.gamma_decode(codes.hex_bits(F.substring(code, cut + 1, F.length(code)))).alias("freqs"))
+    parts = coded.withColumn("cut", cut).select("term", "block_no", "n", F.substring(code, F.lit(1), F.col("cut")).alias("front"), F.substring(code, F.col("cut") + 1, F.length(code)).alias("tail"))
+    bits = parts.withColumn("bits", codes.hex_bits(F.col("tail")))
+    rows = bits.select("term", "block_no", "n", codes.varbyte_decode(F.col("front")).alias("x"), codes.gamma_decode(F.col("bits")).alias("freqs"))
     skip = F.when(F.col("block_no") == 0, 1).otherwise(0)
     sums = F.aggregate(F.slice("x", skip + 3, F.col("n").cast("int")), F.struct(F.expr("cast(array() as array<bigint>)").alias("ids"), F.lit(0).cast("long").alias("at")), lambda s, g: F.struct(F.concat(s["ids"], F.array(s["at"] + g)).alias("ids"), (s["at"] + g).alias("at")), lambda s: s["ids"])
     return rows.select("term", "block_no", F.when(skip == 1, F.col("x")[0]).alias("df"), F.col("x")[skip].alias("last_doc_id"), sums.alias("doc_ids"), "freqs")
