@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,6 +55,16 @@ def varbyte_decode(code: Column, stop_bit: bool = True) -> Column:
     return F.transform(each, value)
 
 
+def running_sums(numbers: Column) -> Column:
+    """The sums of an array's first numbers, in one pass: an array grown by an expression is copied for each element."""
+
+    @F.pandas_udf("array<long>")
+    def sums(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: np.cumsum(x, dtype=np.int64), na_action="ignore")
+
+    return sums(numbers)
+
+
 def unary(n: Column) -> Column:
     return F.concat(F.repeat(F.lit("0"), n.cast("int") - 1), F.lit("1"))
 

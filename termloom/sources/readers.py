@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.codes import running_sums
 from termloom.functions.text import BLANKS, header_url
 from termloom.plans.materialize import with_rank
 
@@ -62,8 +63,7 @@ def document_info(spark: SparkSession, path: str) -> DataFrame:
 def term_edges(spark: SparkSession, path: str) -> DataFrame:
     """term, doc_id from lines `term df first gap gap ...`."""
     parts = spark.read.text(path).select(F.split("value", " +").alias("p")).select(F.col("p")[0].alias("term"), F.transform(F.slice("p", 3, F.size("p")), lambda x: x.cast("long")).alias("gaps"))
-    sums = F.aggregate("gaps", F.struct(F.expr("cast(array() as array<bigint>)").alias("ids"), F.lit(0).cast("long").alias("at")), lambda s, g: F.struct(F.concat(s["ids"], F.array(s["at"] + g)).alias("ids"), (s["at"] + g).alias("at")), lambda s: s["ids"])
-    return parts.select("term", F.explode(sums).alias("doc_id"))
+    return parts.select("term", F.explode(running_sums(F.col("gaps"))).alias("doc_id"))
 
 
 def permutation(spark: SparkSession, path: str) -> DataFrame:

@@ -129,6 +129,14 @@ def test_index_payloads(spark):
         assert all(r.last_doc_id == r.doc_ids[-1] and r.df == (sizes[r.term] if r.block_no == 0 else None) for r in rows.values())
 
 
+def test_long_edge_line_is_read_in_one_pass(spark, tmp_path):
+    """A quarter of a million gaps: arrays grown gap by gap would copy some 250 GB."""
+    n = 250_000
+    (tmp_path / "edges.txt").write_text(f"hot {n} 0 " + " ".join(["2"] * (n - 1)) + "\ncold 1 7\n")
+    got = readers.term_edges(spark, str(tmp_path))
+    assert {tuple(r) for r in got.groupBy("term").agg(F.count("*"), F.sum("doc_id"), F.max("doc_id")).collect()} == {("hot", n, n * (n - 1), 2 * (n - 1)), ("cold", 1, 7, 7)}
+
+
 def test_seek_and_next(toy):
     assert [(r.term, r.doc_id) for r in postings.from_term(toy, "b", 3).collect()] == [("b", 1), ("b", 2), ("c", 3)]
     assert postings.from_term(toy, "bb").collect() == []
