@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.scores import move_gain
+from termloom.functions.scores import move_gain, rounded
 from termloom.operators.postings import within_blocks
 from termloom.functions.codes import gamma_length
 from termloom.plans.materialize import with_rank, written
@@ -47,18 +47,18 @@ def degrees(edges: DataFrame, sides: DataFrame) -> DataFrame:
 def gains(edges: DataFrame, sides: DataFrame, first_term_only: bool = False) -> DataFrame:
     """doc_id, side, gain of moving the document to the other half; documents without a frequent term gain 0."""
     sizes = sides.agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).cast("double").alias("na"), F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).cast("double").alias("nb"))
-    a, b, na, nb = (F.col(c).cast("double") for c in ("deg_a", "deg_b", "na", "nb"))
-    own = F.when(F.col("side") == 0, move_gain(a, b, na, nb, first_term_only)).otherwise(move_gain(b, a, nb, na, first_term_only))
-    rows = edges.join(sides, "doc_id").join(degrees(edges, sides), "term").join(F.broadcast(sizes))
-    summed = rows.groupBy("doc_id", "side").agg(F.sum(own).alias("g"))
-    return sides.join(summed.select("doc_id", "g"), "doc_id", "left").select("doc_id", "side", (F.round(F.coalesce("g", F.lit(0.0)), 6) + F.lit(0.0)).alias("gain"))
+    a, b, na, nb = (F.col(c) for c in ("deg_a", "deg_b", "na", "nb"))
+    each = degrees(edges, sides).join(F.broadcast(sizes)).select("term", move_gain(a, b, na, nb, first_term_only).alias("gain_a"), move_gain(b, a, nb, na, first_term_only).alias("gain_b"))
+    rows = edges.join(sides, "doc_id").join(each, "term")
+    summed = rows.groupBy("doc_id").agg(F.sum(F.when(F.col("side") == 0, F.col("gain_a")).otherwise(F.col("gain_b"))).alias("g"))
+    return sides.join(summed, "doc_id", "left").select("doc_id", "side", (rounded(F.coalesce("g", F.lit(0.0)), 6) + F.lit(0.0)).alias("gain"))
 
 
 def swaps(gained: DataFrame) -> DataFrame:
     """rn, a_doc, b_doc, total: the i-th best of each half while both together gain."""
     ranked = [with_rank(gained.where(F.col("side") == s).select("doc_id", "gain"), [F.desc("gain"), "doc_id"], "rn", 1) for s in (0, 1)]
     a, b = (r.select("rn", F.col("doc_id").alias(f"{n}_doc"), F.col("gain").alias(f"{n}_gain")) for n, r in zip("ab", ranked))
-    return a.join(b, "rn").select("rn", "a_doc", "b_doc", F.round(F.col("a_gain") + F.col("b_gain"), 6).alias("total")).where("total > 0")
+    return a.join(b, "rn").select("rn", "a_doc", "b_doc", rounded(F.col("a_gain") + F.col("b_gain"), 6).alias("total")).where("total > 0")
 
 
 def bisect_once(edges: DataFrame, perm: DataFrame, first_term_only: bool = False) -> DataFrame:
@@ -91,9 +91,10 @@ def _round(edges: DataFrame, now: DataFrame) -> DataFrame:
     sided = now.join(sizes, "part").where(at < 2 * half).select(F.col("old_id").alias("doc_id"), "new_id", "part", F.when(at < half, 0).otherwise(1).alias("side"), half.cast("double").alias("size"))
     linked = edges.join(sided, "doc_id")
     count = lambda s: F.sum(F.when(F.col("side") == s, 1.0).otherwise(0.0))
-    both = linked.join(linked.groupBy("part", "term").agg(count(0).alias("a"), count(1).alias("b")), ["part", "term"])
-    own = F.when(F.col("side") == 0, move_gain(F.col("a"), F.col("b"), F.col("size"), F.col("size"))).otherwise(move_gain(F.col("b"), F.col("a"), F.col("size"), F.col("size")))
-    gained = both.groupBy("doc_id").agg(F.round(F.sum(own), 6).alias("gain"))
+    a, b, size = (F.col(c) for c in ("a", "b", "size"))
+    each = linked.groupBy("part", "term", "size").agg(count(0).alias("a"), count(1).alias("b")).select("part", "term", move_gain(a, b, size, size).alias("gain_a"), move_gain(b, a, size, size).alias("gain_b"))
+    own = F.when(F.col("side") == 0, F.col("gain_a")).otherwise(F.col("gain_b"))
+    gained = linked.join(each, ["part", "term"]).groupBy("doc_id").agg(rounded(F.sum(own), 6).alias("gain"))
     ranked = sided.join(gained, "doc_id", "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
     ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("part", "side").orderBy(F.desc("gain"), "doc_id")))
     a, b = (ranked.where(F.col("side") == s).select("part", "rn", F.col("doc_id").alias(f"{n}_doc"), F.col("new_id").alias(f"{n}_at"), F.col("gain").alias(f"{n}_gain")) for s, n in ((0, "a"), (1, "b")))

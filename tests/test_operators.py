@@ -197,6 +197,28 @@ def test_bisection_keeps_a_permutation(spark):
     assert reorder.gains(edges, reorder.halves(perm), True).count() == 30
 
 
+def test_gains_are_those_of_the_c_library(spark):
+    """Degrees multiply a logarithm's last bit: every gain is the same double that SQL's log2 gives."""
+    import duckdb
+
+    from termloom.functions.scores import move_gain, rounded
+
+    rng = random.Random(7)
+    given = [(float(rng.randint(1, 250000)), float(rng.randint(0, 250000)), 250000.0, 250000.0) for _ in range(500)]
+    df = spark.createDataFrame(given, "o double, r double, no double, nr double")
+    mine = df.select("o", "r", move_gain(F.col("o"), F.col("r"), F.col("no"), F.col("nr")).alias("g")).collect()
+    con = duckdb.connect()
+    con.execute("create table x (o double, r double, no double, nr double)")
+    con.executemany("insert into x values (?, ?, ?, ?)", given)
+    theirs = con.sql("select o, r, o * log2(no / (o + 1)) + r * log2(nr / (r + 1)) - ((o - 1) * log2(no / o) + (r + 1) * log2(nr / (r + 2))) from x").fetchall()
+    assert sorted(map(tuple, mine)) == sorted(theirs)
+    halves = [0.0000005, 1.0000025, -1.0000025, 2.5, 0.49999999999999994, -0.0, 1234.5678905]
+    got = spark.createDataFrame([(x,) for x in halves], "x double").select(rounded(F.col("x"), 6)).collect()
+    assert [r[0] for r in got] == [con.sql(f"select round({x!r}::double, 6)").fetchall()[0][0] for x in halves]
+    none = spark.createDataFrame([(0.0, 3.0), (None, 1.0)], "o double, r double").select(move_gain(F.col("o"), F.col("r"), F.lit(5.0), F.lit(5.0)))
+    assert [r[0] for r in none.collect()] == [None, None]
+
+
 def test_unmatched_postings(toy, spark):
     perm = spark.createDataFrame([(1, 7), (2, 5)], "old_id long, new_id long")
     assert sorted((r.term, r.doc_id) for r in reorder.reassign(toy, perm).collect()) == [("a", 5), ("a", 7), ("b", 5), ("b", 7)]
