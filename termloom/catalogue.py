@@ -41,6 +41,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.postings(docs(spark, sf_dir))
 
 
+def all_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, for queries that read them all."""
+    return postings.whole_postings(docs(spark, sf_dir))
+
+
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.document_lengths(docs(spark, sf_dir))
 
@@ -78,19 +83,19 @@ select * from summed where score {keep} order by score desc, doc_id limit 10"""
 
 @query("select t as term, doc_id, count(*) as freq from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) as t from documents) group by all")
 def tok_letters(spark, sf_dir):
-    return postings.postings(docs(spark, sf_dir), "letters")
+    return postings.whole_postings(docs(spark, sf_dir), "letters")
 
 
 @query("""select t as term, doc_id, count(*) as freq from (select doc_id, regexp_extract(w, '^[A-Za-z0-9]+') as t
 from (select doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) as w from documents)) where t <> '' group by all""")
 def tok_prefix(spark, sf_dir):
-    return postings.postings(docs(spark, sf_dir), "prefix")
+    return postings.whole_postings(docs(spark, sf_dir), "prefix")
 
 
 @query("""select lower(t) as term, doc_id, count(*) as freq from (select doc_id, regexp_extract(w, '^[A-Za-z0-9]+') as t
 from (select doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) as w from documents)) where t <> '' group by all""")
 def tok_prefix_lower(spark, sf_dir):
-    return postings.postings(docs(spark, sf_dir), "prefix_lower")
+    return postings.whole_postings(docs(spark, sf_dir), "prefix_lower")
 
 
 @query(f"with {POSTS} select term, doc_id, freq from posts")
@@ -228,7 +233,7 @@ def term_seek(spark, sf_dir):
 
 @query(f"with {POSTS} select term, doc_id, freq from posts order by term, doc_id limit 1000")
 def posting_head(spark, sf_dir):
-    return posts(spark, sf_dir).orderBy("term", "doc_id").limit(1000)
+    return all_posts(spark, sf_dir).orderBy("term", "doc_id").limit(1000)
 
 
 @query(f"with {POSTS} select doc_id from posts where term in ('with', 'this', 'by') group by doc_id having count(*) = 3")
@@ -286,21 +291,19 @@ GAPPED = f"{NUMBERED}, gapped as (select *, doc_id - coalesce(lag(doc_id) over (
 @query(f"""with {GAPPED} select term, block_no, count(*) as n, max(doc_id) as last_doc_id, cast(sum({VB("doc_id")}) as bigint) as docid_bytes, cast(sum({VB("freq")}) as bigint) as freq_bytes,
 cast(sum(2 * {BITS("gap")} - 1) as bigint) as gap_bits, cast(sum(2 * {BITS("freq")} - 1) as bigint) as freq_bits from gapped group by term, block_no""")
 def posting_blocks(spark, sf_dir):
-    return postings.blocks(posts(spark, sf_dir))
+    return postings.blocks(all_posts(spark, sf_dir))
 
 
 @query(f"with {NUMBERED} select term, block_no, list(doc_id order by doc_id) as doc_ids, list(freq order by doc_id) as freqs from numbered group by term, block_no")
 def block_lists(spark, sf_dir):
-    return postings.block_lists(posts(spark, sf_dir))
+    return postings.block_lists(all_posts(spark, sf_dir))
 
 
 @query(f"""with {NUMBERED}, coded as (select *, {VB("doc_id")} as k from numbered)
 select term, block_no, string_agg(array_to_string(list_transform(range(k), lambda i: printf('%02X', ((doc_id >> (7 * i)) & 127) + case when i = k - 1 then 128 else 0 end)), ''), '' order by doc_id) as payload
 from coded group by term, block_no""")
 def blocks_absolute(spark, sf_dir):
-    coded = postings.numbered(posts(spark, sf_dir)).withColumn("code", codes.varbyte_hex(F.col("doc_id")))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "code"))), lambda x: x["code"])
-    return coded.groupBy("term", "block_no").agg(F.array_join(listed, "").alias("payload"))
+    return postings.block_lists(all_posts(spark, sf_dir)).select("term", "block_no", F.hex(codes.varbyte_list(F.col("doc_ids"))).alias("payload"))
 
 
 VH = lambda x: f"array_to_string(list_transform(range({VB(x)}), lambda i: printf('%02X', (({x} >> (7 * i)) & 127) + case when i = {VB(x)} - 1 then 128 else 0 end)), '')"
@@ -312,7 +315,7 @@ FIRST = f"case when block_no = 0 then {VH('df')} else '' end"
 @query(f"""with {NUMBERED}, {LEXICON}, lists as (select term, block_no, max(doc_id) as last, string_agg({VH("doc_id")}, '' order by doc_id) as d, string_agg({VH("freq")}, '' order by doc_id) as f from numbered group by term, block_no)
 select term, block_no, concat({FIRST}, {VH("last")}, {VH("(len(d) // 2)")}, {VH("(len(f) // 2)")}, d, f) as payload from lists join lexicon using (term)""")
 def index_varbyte(spark, sf_dir):
-    return postings.varbyte_blocks(posts(spark, sf_dir)).withColumn("payload", F.hex("payload"))
+    return postings.varbyte_blocks(all_posts(spark, sf_dir)).withColumn("payload", F.hex("payload"))
 
 
 @query(f"""with {NUMBERED}, {LEXICON}, gapped as (select *, doc_id - coalesce(lag(doc_id) over (partition by term, block_no order by rn), 0) as gap from numbered),
@@ -320,7 +323,7 @@ bits as (select term, block_no, max(doc_id) as last, string_agg({VH("gap")}, ''
 lists as (select *, {PACKED} as f from bits)
 select term, block_no, concat({FIRST}, {VH("last")}, {VH("((len(d) + len(f)) * 4)")}, d, f) as payload from lists join lexicon using (term)""")
 def index_gamma(spark, sf_dir):
-    return postings.gamma_blocks(posts(spark, sf_dir)).select("term", "block_no", F.hex("payload").alias("payload"))
+    return postings.gamma_blocks(all_posts(spark, sf_dir)).select("term", "block_no", F.hex("payload").alias("payload"))
 
 
 READ_BACK = f"with {NUMBERED}, {LEXICON} select term, block_no, any_value(case when block_no = 0 then df end) as df, max(doc_id) as last_doc_id, list(doc_id order by doc_id) as doc_ids, list(freq order by doc_id) as freqs from numbered join lexicon using (term) group by term, block_no"
@@ -328,33 +331,33 @@ READ_BACK = f"with {NUMBERED}, {LEXICON} select term, block_no, any_value(case w
 
 @query(READ_BACK)
 def index_varbyte_read(spark, sf_dir):
-    return postings.read_varbyte_blocks(postings.varbyte_blocks(posts(spark, sf_dir)))
+    return postings.read_varbyte_blocks(postings.varbyte_blocks(all_posts(spark, sf_dir)))
 
 
 @query(READ_BACK)
 def index_gamma_read(spark, sf_dir):
-    return postings.read_gamma_blocks(postings.gamma_blocks(posts(spark, sf_dir)))
+    return postings.read_gamma_blocks(postings.gamma_blocks(all_posts(spark, sf_dir)))
 
 
 @query(f"""with {POSTS}, coded as (select *, {VH("doc_id")} as h from posts)
 select term, doc_id, array_to_string(list_transform(range(len(h) // 2), lambda i: reverse(lpad(ltrim(bin(cast('0x' || substr(h, 2 * i + 1, 2) as integer)), '0'), 8, '0'))), '') as bits from coded""")
 def varbyte_bits(spark, sf_dir):
-    return posts(spark, sf_dir).select("term", "doc_id", codes.varbyte_bits(F.col("doc_id")).alias("bits"))
+    return all_posts(spark, sf_dir).select("term", "doc_id", codes.varbyte_bits(F.col("doc_id")).alias("bits"))
 
 
 @query(f"with {POSTS} select term, doc_id, doc_id - coalesce(lag(doc_id) over w, 0) as gap, row_number() over w as pos from posts window w as (partition by term order by doc_id)")
 def dgaps(spark, sf_dir):
-    return postings.gaps(posts(spark, sf_dir))
+    return postings.gaps(all_posts(spark, sf_dir))
 
 
 @query(f"with {POSTS} select term, row_number() over (partition by term order by doc_id) as pos, doc_id from posts")
 def gap_decode(spark, sf_dir):
-    return postings.gap_decode(postings.gaps(posts(spark, sf_dir)).select("term", "pos", "gap"))
+    return postings.gap_decode(postings.gaps(all_posts(spark, sf_dir)).select("term", "pos", "gap"))
 
 
 @query(f"with {GAPPED} select term, doc_id, repeat('0', {BITS('gap')} - 1) || ltrim(bin(gap), '0') as gap_code, repeat('0', {BITS('freq')} - 1) || ltrim(bin(freq), '0') as freq_code, repeat('0', freq - 1) || '1' as unary_freq from gapped")
 def gamma_codes(spark, sf_dir):
-    gapped = postings.within_blocks(posts(spark, sf_dir))
+    gapped = postings.within_blocks(all_posts(spark, sf_dir))
     return gapped.select("term", "doc_id", codes.gamma(F.col("gap")).alias("gap_code"), codes.gamma(F.col("freq")).alias("freq_code"), codes.unary(F.col("freq")).alias("unary_freq"))
 
 
@@ -362,7 +365,7 @@ def gamma_codes(spark, sf_dir):
 select term, doc_id, array_to_string(list_transform(range(k), lambda i: printf('%02X', ((doc_id >> (7 * i)) & 127) + case when i = k - 1 then 128 else 0 end)), '') as stop_code,
 array_to_string(list_transform(range(k), lambda i: printf('%02X', ((doc_id >> (7 * i)) & 127) + case when i < k - 1 then 128 else 0 end)), '') as more_code, doc_id as decoded from coded""")
 def varbyte_codes(spark, sf_dir):
-    coded = posts(spark, sf_dir).select("term", "doc_id", codes.varbyte_hex(F.col("doc_id")).alias("stop_code"), codes.varbyte_hex(F.col("doc_id"), False).alias("more_code"))
+    coded = all_posts(spark, sf_dir).select("term", "doc_id", codes.varbyte_hex(F.col("doc_id")).alias("stop_code"), codes.varbyte_hex(F.col("doc_id"), False).alias("more_code"))
     return coded.withColumn("decoded", codes.varbyte_decode(F.col("stop_code"))[0])
 
 
@@ -376,12 +379,12 @@ select term, block_no, cast(sum(case when n > 0 and hi - lo - n + 1 > 0 then {BI
 
 @query(f"{IPC} from steps group by term, block_no")
 def ipc_bits(spark, sf_dir):
-    return postings.block_lists(posts(spark, sf_dir)).select("term", "block_no", codes.interpolative_length(F.col("doc_ids")).alias("bits"))
+    return postings.block_lists(all_posts(spark, sf_dir)).select("term", "block_no", codes.interpolative_length(F.col("doc_ids")).alias("bits"))
 
 
 @query(f"{IPC}, true as same from steps group by term, block_no")
 def ipc_roundtrip(spark, sf_dir):
-    lists = postings.block_lists(posts(spark, sf_dir)).select("term", "block_no", "doc_ids", codes.interpolative_length(F.col("doc_ids")).alias("bits"), codes.interpolative_encode(F.col("doc_ids")).alias("payload"))
+    lists = postings.block_lists(all_posts(spark, sf_dir)).select("term", "block_no", "doc_ids", codes.interpolative_length(F.col("doc_ids")).alias("bits"), codes.interpolative_encode(F.col("doc_ids")).alias("payload"))
     back = codes.interpolative_decode(F.col("payload"), F.size("doc_ids"), F.col("doc_ids")[0], F.element_at("doc_ids", -1))
     return lists.select("term", "block_no", "bits", ((back == F.col("doc_ids")) & (F.octet_length("payload") == F.ceil(F.col("bits") / 8))).alias("same"))
 
@@ -408,12 +411,12 @@ def file_gov2(spark, sf_dir):
 
 @query(f"with {POSTS} select term, doc_id, freq from posts")
 def file_postings(spark, sf_dir):
-    return through(spark, lambda at: writers.postings(posts(spark, sf_dir), at), readers.postings)
+    return through(spark, lambda at: writers.postings(all_posts(spark, sf_dir), at), readers.postings)
 
 
 @query(f"with {POSTS}, {LEXICON} select * from lexicon")
 def file_lexicon(spark, sf_dir):
-    return through(spark, lambda at: writers.lexicon(postings.lexicon(posts(spark, sf_dir)), at), readers.lexicon)
+    return through(spark, lambda at: writers.lexicon(postings.lexicon(all_posts(spark, sf_dir)), at), readers.lexicon)
 
 
 @query(f"with {LENGTHS} select * from lengths")
@@ -435,7 +438,7 @@ def file_document_info(spark, sf_dir):
 
 @query(f"with {POSTS}, {LEXICON} select term, doc_id from posts join lexicon using (term) where df > {OFTEN}")
 def file_term_edges(spark, sf_dir):
-    return through(spark, lambda at: writers.term_edges(postings.term_edges(posts(spark, sf_dir), OFTEN), at), readers.term_edges)
+    return through(spark, lambda at: writers.term_edges(postings.term_edges(all_posts(spark, sf_dir), OFTEN), at), readers.term_edges)
 
 
 @query("select doc_id as old_id, row_number() over (order by source, doc_id) - 1 as new_id from documents")
@@ -485,12 +488,12 @@ def reassign_distinct(spark, sf_dir):
 
 @query(f"with {POSTS}, {PERM} select term, new_id as doc_id, freq from posts join perm on doc_id = old_id")
 def reassign_perm(spark, sf_dir):
-    return reorder.reassign(posts(spark, sf_dir), by_source(spark, sf_dir))
+    return reorder.reassign(all_posts(spark, sf_dir), by_source(spark, sf_dir))
 
 
 @query(f"with {POSTS} select doc_id, count(*) as postings from posts where doc_id not in (select doc_id from labels) group by doc_id")
 def reassign_unmatched(spark, sf_dir):
-    return reorder.unmatched(posts(spark, sf_dir), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("old_id")))
+    return reorder.unmatched(all_posts(spark, sf_dir), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("old_id")))
 
 
 @query(f"""with {POSTS}, {PERM}, moved as (select term, new_id as doc_id from posts join perm on doc_id = old_id),
@@ -498,17 +501,17 @@ numbered as (select *, (row_number() over (partition by term order by doc_id) -
 gapped as (select doc_id - coalesce(lag(doc_id) over (partition by term, block_no order by doc_id), -1) as gap from numbered)
 select count(*) as n_postings, cast(sum(2 * {BITS("gap")} - 1) as bigint) as bits from gapped""")
 def reorder_gap_bits(spark, sf_dir):
-    return reorder.gap_bits(reorder.reassign(posts(spark, sf_dir), by_source(spark, sf_dir)))
+    return reorder.gap_bits(reorder.reassign(all_posts(spark, sf_dir), by_source(spark, sf_dir)))
 
 
 @query(f"""with {POSTS}, {LEXICON} select term, df, row_number() over w as pos, doc_id - coalesce(lag(doc_id) over w, 0) as gap from posts join lexicon using (term) where df > {OFTEN} window w as (partition by term order by doc_id)""")
 def term_edges(spark, sf_dir):
-    return postings.term_edges(posts(spark, sf_dir), OFTEN)
+    return postings.term_edges(all_posts(spark, sf_dir), OFTEN)
 
 
 @query(f"with {POSTS}, {LEXICON} select count(*) as terms, cast(sum(df) as bigint) as edges from lexicon where df > {OFTEN}")
 def frequent_totals(spark, sf_dir):
-    return postings.lexicon(posts(spark, sf_dir)).where(F.col("df") > OFTEN).agg(F.count("*").alias("terms"), F.sum("df").cast("long").alias("edges"))
+    return postings.lexicon(all_posts(spark, sf_dir)).where(F.col("df") > OFTEN).agg(F.count("*").alias("terms"), F.sum("df").cast("long").alias("edges"))
 
 
 GRAPH = f"""with {POSTS}, {LEXICON}, {PERM}, edges as (select term, doc_id from posts join lexicon using (term) where df > {OFTEN}),
@@ -522,7 +525,7 @@ gained as (select doc_id, side, round(coalesce(g, 0), 6) + 0.0::double as gain f
 
 
 def graph(spark, sf_dir):
-    return postings.frequent_edges(posts(spark, sf_dir), OFTEN), reorder.halves(by_source(spark, sf_dir))
+    return postings.frequent_edges(all_posts(spark, sf_dir), OFTEN), reorder.halves(by_source(spark, sf_dir))
 
 
 @query(f"{GRAPH} select * from deg")
@@ -548,7 +551,7 @@ def bp_swap(spark, sf_dir):
 @query(f"""{SWAPS}, partner as (select a_doc as old_id, b_doc as other from swaps union all select b_doc, a_doc from swaps)
 select p.old_id, coalesce(q.new_id, p.new_id) as new_id from perm p left join partner using (old_id) left join perm q on q.old_id = other""")
 def bp_permutation(spark, sf_dir):
-    return reorder.bisect_once(postings.frequent_edges(posts(spark, sf_dir), OFTEN), by_source(spark, sf_dir))
+    return reorder.bisect_once(postings.frequent_edges(all_posts(spark, sf_dir), OFTEN), by_source(spark, sf_dir))
 
 
 # -- links and frontier -----------------------------------------------------------------------------------------------------------

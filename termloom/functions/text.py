@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +52,23 @@ def alnum_runs(text: Column) -> Column:
 LOWERED_LAST = {"prefix_lower": prefixes, "alnum": alnum_runs, "html": lambda h: alnum_runs(strip_html(h))}
 
 
+#: Of each tokenizer what is done to the text first, the tokens' pattern, and whether they are lowered last.
+PATTERNS = {
+    "letters": (None, "[A-Za-z]+", False),
+    "prefix": (None, r"(?:^|[ \n])([A-Za-z0-9]+)", False),
+    "prefix_lower": (None, r"(?:^|[ \n])([A-Za-z0-9]+)", True),
+    "alnum": (None, "[A-Za-z0-9]+", True),
+    "html": (strip_html, "[A-Za-z0-9]+", True),
+}
+
+
+def finder(tokenizer: str) -> Callable[[str], list[str]]:
+    """The tokenizer in Python, for a text that has been through what PATTERNS does first."""
+    _, pattern, lower = PATTERNS[tokenizer]
+    find = re.compile(pattern).findall
+    return (lambda t: [w.lower() for w in find(t)]) if lower else find
+
+
 def words(text: Column) -> Column:
     """Words between any white space."""
     return _non_empty(F.split(text, BLANKS))

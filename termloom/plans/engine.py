@@ -13,19 +13,20 @@ from termloom.sources import writers
 class SearchEngine:
     """Postings and lengths as DataFrames; documents, if given, for snippets."""
 
-    def __init__(self, posts: DataFrame, lengths: DataFrame, docs: DataFrame | None = None):
-        self.posts, self.lengths, self.docs = posts, lengths, docs
+    def __init__(self, posts: DataFrame, lengths: DataFrame, docs: DataFrame | None = None, whole: DataFrame | None = None):
+        """whole: the rows of posts by a plan made for reading all of them."""
+        self.posts, self.lengths, self.docs, self.whole = posts, lengths, docs, whole or posts
 
     @classmethod
     def from_documents(cls, docs: DataFrame, tokenizer: str = "alnum") -> SearchEngine:
-        return cls(P.postings(docs, tokenizer), P.document_lengths(docs), docs)
+        return cls(P.postings(docs, tokenizer), P.document_lengths(docs), docs, P.whole_postings(docs, tokenizer))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, docs: DataFrame | None = None) -> SearchEngine:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), docs)
 
     def save(self, path: str) -> SearchEngine:
-        writers.index(self.posts, self.lengths, path)
+        writers.index(self.whole, self.lengths, path)
         return SearchEngine.open(self.posts.sparkSession, path, self.docs)
 
     def search(self, query: str | Query, k: int = 10, dnf: bool = False, strip: bool = False) -> DataFrame:

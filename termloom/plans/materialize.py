@@ -85,13 +85,14 @@ def with_rank(df: DataFrame, order: list[str | Column], name: str, start: int =
 
 
 def with_carried(placed: DataFrame, key: str, **totals: tuple[Column, Callable]) -> DataFrame:
-    """Rows of in_ranges(df, [key, ...]) with totals (an aggregate and what combines it) over the key's rows in earlier
-    ranges, null where there are none.
+    """Rows of ranges sorted by (key, ...) with totals (an aggregate and what combines it) over the key's rows in earlier
+    ranges, null where there are none, and _split, whether the key lies in several ranges (null: it doesn't).
 
     Ranges are sorted by key, so only a range's first key can begin before it: at most two rows for each range are broadcast."""
     ends = placed.groupBy("_range").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
     edge = placed.join(F.broadcast(ends), "_range").where((F.col(key) == F.col("_first")) | (F.col(key) == F.col("_last")))
     parts = edge.groupBy("_range", key).agg(*(agg.alias(name) for name, (agg, _) in totals.items()))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    known = parts.select("_range", key, *(combine(F.col(name)).over(before).alias(name) for name, (_, combine) in totals.items()))
+    split = (F.count("*").over(Window.partitionBy(key)) > 1).alias("_split")
+    known = parts.select("_range", key, split, *(combine(F.col(name)).over(before).alias(name) for name, (_, combine) in totals.items()))
     return placed.join(F.broadcast(known), ["_range", key], "left")

@@ -137,6 +137,48 @@ def test_long_edge_line_is_read_in_one_pass(spark, tmp_path):
     assert {tuple(r) for r in got.groupBy("term").agg(F.count("*"), F.sum("doc_id"), F.max("doc_id")).collect()} == {("hot", n, n * (n - 1), 2 * (n - 1)), ("cold", 1, 7, 7)}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_index_is_counted_where_texts_lie(spark):
+    """Repeated, null and empty rows counted as by SQL; no posting is shuffled for its count, and none again for its block."""
+    docs = spark.createDataFrame([(1, "A b a-b"), (1, "a c"), (2, None), (3, ""), (None, "b"), (None, "B \u017f"), (4, "x\n y_Z 9")], "doc_id long, text string")
+    for tokenizer in ("letters", "prefix", "prefix_lower", "alnum", "html"):
+        whole = postings.whole_postings(docs, tokenizer)
+        assert plan(whole).count("Exchange") == 1 and "Aggregate" not in plan(whole)
+        assert sorted(map(repr, whole.collect())) == sorted(map(repr, postings.postings(docs, tokenizer).collect()))
+    toy = spark.createDataFrame(TOY, readers.POSTINGS)
+    assert "row_number" not in plan(postings.gaps(toy)) and "row_number" not in plan(postings.within_blocks(toy))
+
+
+def test_blocks_over_several_ranges(spark, whole_partitions):
+    """Blocks that begin in one range and end in another, in every form."""
+    df = spark.range(3001).select(F.when(F.col("id") % 10 == 0, F.lit("zz")).otherwise(F.lit("hot")).alias("term"), (F.col("id") * 3 + 2).alias("doc_id"), (F.col("id") % 5 + 1).alias("freq"))
+    by_term = {}
+    for r in sorted(df.collect()):
+        by_term.setdefault(r.term, []).append((r.doc_id, r.freq))
+    want = {(t, i // 64): x[i : i + 64] for t, x in by_term.items() for i in range(0, len(x), 64)}
+    for got in (postings.block_lists(df), postings.read_varbyte_blocks(postings.varbyte_blocks(df)), postings.read_gamma_blocks(postings.gamma_blocks(df))):
+        rows = got.collect()
+        assert {(r.term, r.block_no): list(zip(r.doc_ids, r.freqs)) for r in rows} == want and len(rows) == len(want)
+        if "df" in got.columns:
+            assert {r.term: r.df for r in rows if r.df} == {t: len(x) for t, x in by_term.items()}
+
+
+def test_odd_numbers_in_codes(spark):
+    """Codes of any length, and decoders that leave an unended number out."""
+    from termloom.functions import codes
+
+    x = [0, 1, 127, 128, 16383, 16384, 2**31, 2**56 - 1, 2**56, 2**62]
+    df = spark.createDataFrame([(i,) for i in x], "x long")
+    for stop in (True, False):
+        back = df.select("x", codes.varbyte_decode(codes.varbyte_hex(F.col("x"), stop), stop).alias("y"), codes.varbyte_bits(F.col("x"), stop).alias("b"), codes.hex_bits(codes.varbyte_hex(F.col("x"), stop)).alias("h")).collect()
+        assert all(r.y == [r.x] and r.b == r.h for r in back)
+    odd = spark.createDataFrame([("8182",), ("",), (None,), ("0181",), ("8101",), ("01",), ("85",)], "c string").select(codes.varbyte_decode(F.col("c"))).collect()
+    assert [r[0] for r in odd] == [[1, 2], [], None, [129], [1], [], [5]]
+
+
 def test_seek_and_next(toy):
     assert [(r.term, r.doc_id) for r in postings.from_term(toy, "b", 3).collect()] == [("b", 1), ("b", 2), ("c", 3)]
     assert postings.from_term(toy, "bb").collect() == []
